@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import simhash
+from quern.llm import debruijn, exact_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_debruijn_dedup": debruijn.op2_debruijn_dedup,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact_dedup.ORACLE}
