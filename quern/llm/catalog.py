@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import debruijn, exact_dedup, simhash
+from quern.llm import debruijn, exact_dedup, pfair, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_debruijn_dedup": debruijn.op2_debruijn_dedup,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+        "op8_pfair_mix": pfair.op8_pfair_mix,
     }
 
 
