@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import debruijn, exact_dedup, pfair, simhash
+from quern.llm import debruijn, exact_dedup, packing, pfair, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_debruijn_dedup": debruijn.op2_debruijn_dedup,
+        "op3_retrieval_packing": packing.op3_retrieval_packing,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op8_pfair_mix": pfair.op8_pfair_mix,
     }
