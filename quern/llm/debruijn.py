@@ -28,13 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, table
+from quern.llm.common import checkpointed, only, table
 
 WINDOW, K = 20, 10
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 _TURNS = tuple(_U(pow(int(b), -1, 1 << 64)) for b in _BASES)
-_OCC = "m bigint, b bigint, id bigint, tie int, lo int, hi int, settled int"
+_OCC = "m bigint, b bigint, id bigint, tie int, lo bigint"
+_FOUND = "id bigint, tie int, mark bigint"
 #: Words whose hashes a worker remembers.
 _WORDS = 400_000
 #: Words hashed at once, and so the order of a task's extra memory.
@@ -107,6 +108,16 @@ def _pieces(words: np.ndarray) -> tuple[np.ndarray, ...] | None:
     return mers[at], piece, lo, hi
 
 
+def _mark(flag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """First edge, number of further edges and a flag in one long that sorts by first edge."""
+    return (lo.astype(np.int64) << 32) | ((hi - lo).astype(np.int64) << 1) | flag
+
+
+def _unmark(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo = mark >> 32
+    return mark & 1, lo, lo + ((mark & 0xFFFFFFFF) >> 1)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -129,10 +140,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = again[go]
         # settled rows only pass through, so spread them over all tasks
         key = np.where(again, _mix(doc[go].view(_U) + lo[go].astype(_U) * _U(31)), m[go])
-        return pa.RecordBatch.from_arrays(
-            [_signed(key), _signed(np.where(again, _U(0), b[go])), pa.array(doc[go]), pa.array(tie[go].astype(np.int32)), pa.array(lo[go].astype(np.int32)), pa.array(hi[go].astype(np.int32)), pa.array(again.astype(np.int32))],
-            ["m", "b", "id", "tie", "lo", "hi", "settled"],
-        )
+        where = _mark(again, lo[go], hi[go])
+        return pa.RecordBatch.from_arrays([_signed(key), _signed(np.where(again, _U(0), b[go])), pa.array(doc[go]), pa.array(tie[go].astype(np.int32)), pa.array(where)], ["m", "b", "id", "tie", "lo"])
 
     for batch in batches:
         ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -178,22 +187,23 @@ class _Runs:
 
 
 def _bucket_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (m, b, id, tie, lo): kind 0 repeated pieces, kind 1 pieces to open."""
+    """Rows sorted by (m, b, id, tie, lo): flag 0 repeated pieces, flag 1 pieces to open."""
     runs, last_m = _Runs(), None
     held = None  # the piece of the newest bucket, while it is the bucket's only one
 
     def out(kind, columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["kind", "id", "tie", "lo", "hi"])
+        doc, tie, mark = (np.ascontiguousarray(c) for c in columns)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array((mark & ~1) | kind)], ["id", "tie", "mark"])
 
     for batch in batches:
-        m, b, *where, settled = (c.to_numpy() for c in batch.columns)
-        passing = settled == 1
+        m, b, *where = (c.to_numpy() for c in batch.columns)
+        passing = (where[2] & 1) == 1
         if passing.any():
             yield out(0, [x[passing] for x in where])
             m, b, *where = (x[~passing] for x in (m, b, *where))
         if not len(m):
             continue
-        new, copies = runs.of([m, b], where[:3])
+        new, copies = runs.of([m, b], where)
         new_m = np.ones(len(m), bool)
         new_m[1:] = m[1:] != m[:-1]
         new_m[0] = m[0] != last_m
@@ -243,11 +253,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if scalar is None or not scalar.is_valid:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    values = scalar.values
-    return tuple(values.field(i).to_numpy().astype(np.int64) for i in range(3))
+    known = scalar is not None and scalar.is_valid
+    return _unmark(scalar.values.to_numpy() if known else np.zeros(0, np.int64))
 
 
 def _later_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +267,7 @@ def _later_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, copies = runs.of([h1, h2], [doc, tie, lo])
         if copies.any():
             at = lo[copies]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(doc[copies]), pa.array(tie[copies]), pa.array(at), pa.array(at)], ["kind", "id", "tie", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[copies]), pa.array(tie[copies]), pa.array(_mark(0, at, at))], ["id", "tie", "mark"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,15 +294,18 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, tie, text, whole, edges)``: the documents with their repeated windows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a null id orders before all others; rows that share an id are told apart by their text
-    docs = only(df, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tie"), "text")
+    # a null id orders before all others
+    docs = only(df, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), "text")
+    # only where an id repeats are rows told apart by their text
+    unique = docs.groupBy("id").count().where("count > 1").isEmpty()
+    docs = docs.select("id", (F.lit(0) if unique else F.shiftright(F.xxhash64("text"), 32)).cast("int").alias("tie"), "text")
     pieces = docs.mapInArrow(_occurrences, _OCC)
-    found = pieces.repartition(n, "m").sortWithinPartitions("m", "b", "id", "tie", "lo").mapInArrow(_bucket_stream, "kind int, id bigint, tie int, lo int, hi int")
-    per_doc = found.groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("marks"))
-    opened = per_doc.where(F.exists("marks", lambda x: x["kind"] == 1))
+    found = pieces.repartition(n, "m").sortWithinPartitions("m", "b", "id", "tie", "lo").mapInArrow(_bucket_stream, _FOUND)
+    per_doc = checkpointed(found.groupBy("id", "tie").agg(F.collect_list("mark").alias("marks")))
+    opened = per_doc.where(F.exists("marks", lambda x: x.bitwiseAND(F.lit(1)) == 1))
     edges = docs.join(opened, ["id", "tie"]).select("id", "tie", "text", "marks").mapInArrow(_edges, "h1 bigint, h2 bigint, id bigint, tie int, lo int")
-    later = edges.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "id", "tie", "lo").mapInArrow(_later_edges, "kind int, id bigint, tie int, lo int, hi int")
-    per_doc_edges = later.groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("edges"))
+    later = edges.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "id", "tie", "lo").mapInArrow(_later_edges, _FOUND)
+    per_doc_edges = later.groupBy("id", "tie").agg(F.collect_list("mark").alias("edges"))
     both = per_doc.withColumnRenamed("marks", "whole").join(per_doc_edges, ["id", "tie"], "full")
     return docs.join(both, ["id", "tie"], "left").select("id", "text", "whole", "edges")
 
