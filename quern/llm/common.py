@@ -28,20 +28,26 @@ def lower_ascii(text: Column) -> Column:
     return F.when(pure, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor
-    a context folder is set (tests on one machine) is a folder of our own used.
+    Only where the session names none and runs on one machine (tests) is a folder
+    of our own set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
