@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import debruijn, exact_dedup, langid, packing, pfair, simhash, toxicity
+from quern.llm import debruijn, exact_dedup, hilbert_ann, langid, packing, pfair, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_debruijn_dedup": debruijn.op2_debruijn_dedup,
         "op3_retrieval_packing": packing.op3_retrieval_packing,
+        "op4_hilbert_neighbours": hilbert_ann.op4_hilbert_neighbours,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_pfair_mix": pfair.op8_pfair_mix,
