@@ -2,9 +2,9 @@
 
 1. One pass tokenises: ids are not moved, but each document's length, CRC-32
    prefixes at every ``STEP`` tokens and its word counts are.
-2. Documents are range-partitioned on a lexical sketch (the least word hashes), so
-   that documents with shared rare words meet; the id breaks ties, so copies of one
-   text spread over partitions.
+2. Documents are dealt out by a lexical sketch (the two least word hashes), so that
+   documents of like words meet. A sketch that many rows share is salted: each reading
+   task sends its first ``SALT_ROWS`` rows of a sketch together, the next ones elsewhere.
 3. A task cuts its sorted rows into shards of bounded size. Each shard is a BM25
    inverted index over all its documents. Whole windows of a long document are
    sequences by themselves; what remains of it seeds or joins a window: the seed's
@@ -18,8 +18,12 @@ text is tokenised twice.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,14 @@ LENGTH, STEP, END = 2048, 16, 1
 SHARD_DOCS, SHARD_POSTINGS = 4000, 2_000_000
 #: Documents per task of the packing stage.
 TASK_DOCS = 20_000
+#: Rows of one sketch that a reading task sends to one place.
+SALT_ROWS = 64
 #: Words of a seed that form its query: those of most BM25 weight.
 QUERY_WORDS = 16
 K1, B = 1.2, 0.75
-_WORDS = 300_000
+_WORDS = 500_000
+_BEYOND_LATIN1 = re.compile("[^\x00-\xff]")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def _crc_shifts(n: int) -> np.ndarray:
@@ -60,69 +68,138 @@ def _piece_crcs(prefix_start: np.ndarray, prefix_stop: np.ndarray, length: np.nd
     return moved ^ prefix_stop
 
 
+class _Codes(dict):
+    """Numbers parts in order of first sight; ``new`` lists what was not known."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = code = len(self)
+        self.new.append(part)
+        return code
+
+
 class _Tokens:
-    """Token ids of a text, remembered by white-space separated part.
+    """Token ids of texts, remembered by white-space separated part.
 
-    The vocabulary never joins across white space, so parts are independent. Parts
-    are cut at blanks, tabs and line ends only, which every rule counts as such.
+    The vocabulary never joins across white space, so parts are independent. It lower-
+    cases and separates letters from other signs, so a part of letters is one unit, and
+    one that ends in a single stop is that unit and the stop. New units are encoded many
+    at a time and told apart by the vocabulary's word ends; all other parts one by one.
+    Ids and word hashes of known parts lie in flat arrays, from which texts are gathered.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.hashes: dict[str, int] = {}
-
-    def parts(self, text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > _WORDS:
-            self.known.clear()
-            self.hashes.clear()
-        new = list(set().union(*texts).difference(self.known)) if texts else []
-        for word, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            self.known[word] = tuple(found.ids)
-            self.hashes[word] = xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass"), 3)
-
-    def ids(self, parts: list[str]) -> np.ndarray:
-        known = self.known
-        flat: list[int] = []
-        for p in parts:
-            flat += known[p]
-        flat.append(END)
-        return np.array(flat, np.uint32)
-
-    def words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        hashes = self.hashes
-        found = np.fromiter((hashes[p] for p in parts if p), np.uint32)
-        return np.unique(found, return_counts=True)
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stops = {c: tuple(self.model.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
+        self.flat = np.zeros(0, np.uint32)
+        self.at = np.zeros(1, np.int64)
+        self.hash = np.zeros(0, np.uint32)
+
+    def _parts(self, text: str) -> list[str]:
+        # below U+0100 lower case is one letter for one in every rule
+        if text.isascii() or not _BEYOND_LATIN1.search(text):
+            text = text.lower()
+        if _SEPARATORS.search(text):  # Python's white space, but a sign to the vocabulary
+            return [p for p in re.split("[ \t\r\n]", text) if p]
+        return text.split()
+
+    def _learn(self, new: list[str]) -> None:
+        stops, ids = self.stops, {}
+        units, rest = set(), []
+        for p in new:
+            if p.isalpha():
+                units.add(p)
+            elif p[-1] in stops and p[:-1].isalpha():
+                units.add(p[:-1])
+            else:
+                rest.append(p)
+        found = self._units(list(units))
+        if rest:
+            ids = dict(zip(rest, (e.ids for e in self.model.encode_batch(rest, add_special_tokens=False)), strict=True))
+        out = [found[p] if p in found else ids[p] if p in ids else (*found[p[:-1]], *stops[p[-1]]) for p in new]
+        digest = xxhash.xxh32_intdigest
+        words = [digest((p[:-1] if p[-1] in stops else p).encode("utf-8", "surrogatepass"), 3) for p in new]
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(out), np.uint32, int(size.sum()))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        self.hash = np.concatenate([self.hash, np.array(words, np.uint32)])
+
+    def _units(self, units: list[str]) -> dict[str, list[int]]:
+        out = {}
+        for at in range(0, len(units), 2000):
+            some = units[at : at + 2000]
+            ids = self.model.encode(" ".join(some), add_special_tokens=False).ids
+            cuts = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
+            if len(cuts) != len(some):  # a unit is not one unit to the vocabulary after all
+                out.update((u, e.ids) for u, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True))
+                continue
+            begin = 0
+            for unit, end in zip(some, cuts.tolist(), strict=True):
+                out[unit] = ids[begin:end]
+                begin = end
+        return out
+
+    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids with the end id, word hashes, their counts) of each text."""
+        if len(self.codes) > _WORDS:
+            self._forget()
+        parts = [self._parts(t) for t in texts]
+        sizes = [len(p) for p in parts]
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        if self.codes.new:
+            self._learn(self.codes.new)
+            self.codes.new = []
+        end = 0
+        for size in sizes:
+            mine = codes[end : end + size]
+            end += size
+            start, n = self.at[mine], self.at[mine + 1] - self.at[mine]
+            shift = np.repeat(start - (np.cumsum(n) - n), n)
+            ids = np.append(self.flat[shift + np.arange(len(shift))], np.uint32(END))
+            yield ids, *np.unique(self.hash[mine], return_counts=True)
+
+
+@functools.lru_cache(maxsize=1)
+def _tokens(path: str) -> _Tokens:
+    """One per worker process: a model is slow to load and what it learns is worth keeping."""
+    return _Tokens(path)
 
 
 def _tokenised(path: str):
-    names = ["id", "tokens", "prefixes", "words", "counts", "sketch", "sketch2"]
+    names = ["id", "tokens", "prefixes", "words", "counts", "sketch", "sketch2", "salt"]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _Tokens(path)
+        model = _tokens(path)
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 200):
-                parts = [model.parts(t.as_py() or "") for t in texts[at : at + 200]]
-                model.learn(parts)
-                out: list[list] = [[] for _ in names[1:]]
-                for p in parts:
-                    tokens = model.ids(p)
+                out: list[list] = [[] for _ in kinds]
+                for tokens, words, counts in model.of([t.as_py() or "" for t in texts[at : at + 200]]):
                     raw = memoryview(tokens.astype("<u4").tobytes())
                     crc, prefixes = 0, [0]
                     for a in range(0, len(raw), 4 * STEP):
                         crc = zlib.crc32(raw[a : a + 4 * STEP], crc)
                         prefixes.append(crc)
-                    words, counts = model.words(p)
-                    least = np.sort(_scrambled(words))[:2].tolist() + [1 << 32] * 2
-                    for column, value in zip(out, (len(tokens), np.array(prefixes, "<u4").tobytes(), words.astype("<u4").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), least[0], least[1]), strict=True):
+                    least = tuple((np.sort(_scrambled(words))[:2].tolist() + [1 << 32] * 2)[:2])
+                    seen[least] = nth = seen.get(least, -1) + 1
+                    values = (len(tokens), np.array(prefixes, "<u4").tobytes(), words.astype("<u4").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), *least, nth // SALT_ROWS)
+                    for column, value in zip(out, values, strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([ids[at : at + 200], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
     return run
@@ -272,8 +349,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = only(df, id=id_col, text=text_col)
     tasks = max(1, -(-rows.count() // TASK_DOCS))
-    ready = rows.mapInArrow(_tokenised(tokenizer), "id bigint, tokens bigint, prefixes binary, words binary, counts binary, sketch bigint, sketch2 bigint")
-    dealt = ready.repartitionByRange(tasks, "sketch", "sketch2", "id").sortWithinPartitions("sketch", "sketch2", "id")
+    ready = rows.mapInArrow(_tokenised(tokenizer), "id bigint, tokens bigint, prefixes binary, words binary, counts binary, sketch bigint, sketch2 bigint, salt bigint")
+    dealt = ready.repartition(tasks, "sketch", "sketch2", "salt").sortWithinPartitions("sketch", "sketch2", "id")
     return dealt.mapInArrow(_packed(length), "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
