@@ -1 +1 @@
-
+"""Readers: note collections, alias resources, delimited files."""
