@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Elements that separate words, elements whose content is not text.
 BLOCK_TAGS = frozenset(
@@ -205,7 +206,7 @@ def _is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normal(t))
 
@@ -230,7 +231,7 @@ def strip_cloze(text: Column) -> Column:
     return reduce(lambda t, _: F.regexp_replace(t, CLOZE, "$1"), range(CLOZE_PASSES), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _visible_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else visible(t))
 
@@ -351,7 +352,7 @@ def tag_summary(tags: Column, shown: int = 6) -> Column:
 
 def deck_label(deck: Column) -> Column:
     """Last part of a ``::`` path that is not empty."""
-    parts = F.filter(F.transform(F.split(deck, "::"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(deck, "::"), lambda p: F.trim(p)), lambda p: p != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.trim(deck))
 
 

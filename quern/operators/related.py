@@ -10,7 +10,7 @@ PROVIDERS = {"uworld": "UWorld", "amboss": "AMBOSS"}
 
 
 def _parts(tag: Column) -> Column:
-    return F.filter(F.transform(F.split(tag, "::"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(tag, "::"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _bare(part: Column) -> Column:
@@ -36,7 +36,7 @@ def provider_of(tag: Column, providers=tuple(PROVIDERS)) -> Column:
 
 def source_tags(notes: DataFrame, providers=tuple(PROVIDERS)) -> DataFrame:
     """``(note_id, tag_key, display, provider, leaf)``; one row per distinct key of a note."""
-    rows = notes.select("note_id", F.posexplode(F.transform("tags", F.trim)).alias("at", "display")).where("display <> ''")
+    rows = notes.select("note_id", F.posexplode(F.transform("tags", lambda t: F.trim(t))).alias("at", "display")).where("display <> ''")
     rows = rows.withColumn("tag_key", F.lower("display")).withColumn("provider", provider_of(F.col("display"), providers)).where("provider is not null")
     leaf = _bare(F.element_at(_parts(F.col("display")), -1))
     rows = rows.withColumn("leaf", F.when(leaf != "", leaf).otherwise(F.initcap("provider")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ class Index:
 
     @staticmethod
     def build(notes: DataFrame, aliases: DataFrame | None = None, single_field: bool = False) -> Index:
-        prepared = index.prepare_single_field(notes) if single_field else index.prepare(notes)
+        # read several times by every search; a published version is read from its tables instead
+        prepared = (index.prepare_single_field(notes) if single_field else index.prepare(notes)).persist(StorageLevel.MEMORY_AND_DISK)
         stats = index.doc_stats(prepared)
         vocabulary = fuzzy.build_vocabulary(index.vocabulary(prepared), aliases)
         return Index(prepared, index.term_counts(prepared), index.postings(prepared), stats, vocabulary, aliases, lexical.corpus_size(stats))
@@ -69,7 +71,8 @@ class Engine:
         found = fuzzy.corrections(fuzzy.suggestions(asked, self.index.vocabulary)).collect()  # one row a query word at most
         return {r.token: r.asDict() for r in found}
 
-    def expansions(self, terms: tuple[Term, ...]) -> dict[str, list[str]]:
+    def expansions(self, terms: list[Term]) -> dict[str, list[str]]:
+        """Aliases of whole terms and of their words, for all queries in one lookup."""
         if self.index.aliases is None or not terms:
             return {}
         values = sorted({v for t in terms for v in (t.normalized, *words(t.normalized))})
@@ -105,12 +108,17 @@ class Engine:
         best = lexical.ranked(matches, fusion.source_limit("literal_broad", limit)).where(F.col("rank") <= cap)
         return best.select(F.substring_index("query_id", "|", 1).cast("int").alias("query_id"), "note_id", "source", "rank")
 
-    def _plan(self, parsed: Parsed, mode: str, corrections: dict[str, dict]) -> dict:
+    @staticmethod
+    def _effective(parsed: Parsed, mode: str, corrections: dict[str, dict]) -> tuple[dict[str, str], tuple[Term, ...]]:
+        """Corrections that are applied, and the positive terms after them."""
         positive = parsed.positive
-        groups = [[tuple(_tokens(t.normalized))] for t in positive if _tokens(t.normalized)]
         automatic = {w: c["corrected"] for w, c in corrections.items() if c["automatic"] and mode != "exact" and any(w in words(t.normalized) and not t.quoted for t in positive)}
-        effective = corrected_terms(positive, automatic) if automatic else positive
-        expansions = self.expansions(effective) if mode == "smart" else {}
+        return automatic, corrected_terms(positive, automatic) if automatic else positive
+
+    def _plan(self, parsed: Parsed, mode: str, automatic: dict[str, str], effective: tuple[Term, ...], known: dict[str, list[str]]) -> dict:
+        positive = parsed.positive
+        groups = [[tuple(_tokens(t.normalized))] for t in positive if _tokens(t.normalized)]
+        expansions = {v: known[v] for t in effective for v in (t.normalized, *words(t.normalized)) if v in known}
         sources: dict[str, list] = {}
         if mode != "semantic" and groups:
             sources["literal_strict"] = groups
@@ -153,7 +161,9 @@ class Engine:
         parser = Parser(field_names)
         parsed = [parser.parse(t) for t in texts]
         corrections = self.corrections(parsed) if mode != "exact" else {}
-        plans = [self._plan(p, mode, corrections) for p in parsed]
+        terms = [self._effective(p, mode, corrections) for p in parsed]
+        known = self.expansions([t for _, ts in terms for t in ts]) if mode == "smart" else {}
+        plans = [self._plan(p, mode, a, ts, known) for p, (a, ts) in zip(parsed, terms, strict=True)]
         fused = None
         hits = self._sources(plans, limit)
         if hits is not None:
