@@ -216,7 +216,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """
     rows = only(labelled, id=id_col, text=text_col, toxic=label_col).where("toxic is not null and text is not null")
     rows = rows.select(F.xxhash64("id", F.lit(11)).alias("row"), "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sample = checkpointed(rows.orderBy("row", F.xxhash64("text")).limit(FIT_ROWS))
+    # the cut is found on hashes alone, so that no task gathers the texts; an id counts once
+    cut = rows.select("row").distinct().orderBy("row").limit(FIT_ROWS).agg(F.max("row").alias("cut")).first().cut
+    few = rows.where(F.col("row") <= F.lit(cut if cut is not None else 0)).groupBy("row").agg(F.min(F.struct("text", "toxic")).alias("one"))
+    sample = checkpointed(few.select("row", "one.text", "one.toxic"))
     prints = sample.select("row", "text").mapInArrow(_fingerprinted, "row bigint, fp bigint").orderBy("row", "fp").toPandas()
     fps = prints["fp"].to_numpy().view(np.uint64) if len(prints) else np.zeros(0, np.uint64)
     alone = prints[_apart(fps)]["row"].astype("int64").tolist()
