@@ -278,7 +278,7 @@ def _engine(spark, d) -> Engine:
 
 
 @query(f"""with {_PREP} select note_id, title, cast(null as double) as score from texts join documents on doc_id + 1 = note_id
-where lang = 'en' and (contains(lower(text), 'stupid') or contains(lower(text), 'moron')) and not contains(lower(text), 'clown') order by note_id limit {TOP}""")
+where documents.lang = 'en' and (contains(lower(text), 'stupid') or contains(lower(text), 'moron')) and not contains(lower(text), 'clown') order by note_id limit {TOP}""")
 def native_search(spark, d):
     return _engine(spark, d).exact("deck:en (stupid OR moron) -clown", TOP)
 
