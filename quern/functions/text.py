@@ -43,6 +43,8 @@ WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 #: Tokens of the full-text index: hyphens and apostrophes split.
 INDEX_TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 _PY_WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
+# Up to U+036F, these and no others are combining.
+_MARKS, _BEYOND_MARKS = re.compile("[\u0300-\u034e\u0350-\u036f]"), re.compile("[^\x00-\u036f]")
 MEDIA = r"(?i)\[(?:sound|[a-z]+:play|[a-z]+:tts)[^\]]*\]"
 CLOZE = r"(?is)\{\{c\d+::(.*?)(?:::.*?)?\}\}"
 CLOZE_PASSES = 8
@@ -57,9 +59,10 @@ def collapse(text: str) -> str:
 
 def normal(text: str | None) -> str:
     """Case, accents, width, punctuation variants and white space folded."""
-    wide = unicodedata.normalize("NFKC", text or "").translate(_FOLD).casefold()
-    bare = (c for c in unicodedata.normalize("NFKD", wide) if not unicodedata.combining(c))
-    return collapse("".join(bare))
+    wide = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text or "").translate(_FOLD).casefold())
+    if _BEYOND_MARKS.search(wide):
+        return collapse("".join(c for c in wide if not unicodedata.combining(c)))
+    return collapse(_MARKS.sub("", wide))
 
 
 def words(text: str | None) -> list[str]:

@@ -22,6 +22,12 @@ def word_hits(term_counts: DataFrame, terms: DataFrame) -> DataFrame:
     return term_counts.join(terms.select("phrase_id", "term"), "term").select("phrase_id", "note_id", "wf")
 
 
+def word_hits_in(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``word_hits`` from raw postings: only the asked terms' occurrences are aggregated."""
+    weight = F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()))
+    return postings.join(terms.select("phrase_id", "term"), "term").groupBy("phrase_id", "note_id").agg(F.sum(weight).alias("wf"))
+
+
 def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(phrase_id, note_id, wf)`` of phrases ``(phrase_id, tokens)``; none spans columns.
 

@@ -97,7 +97,7 @@ class Engine:
         clause_rows = F.broadcast(self.spark.createDataFrame(clauses, "query_id string, group_id int, phrase_id int"))
         singles = [(i, p[0]) for p, i in phrases.items() if len(p) == 1]
         longer = [(i, list(p)) for p, i in phrases.items() if len(p) > 1]
-        hits = lexical.word_hits(self.index.counts, F.broadcast(self.spark.createDataFrame(singles, "phrase_id int, term string")))
+        hits = lexical.word_hits_in(self.index.postings, F.broadcast(self.spark.createDataFrame(singles, "phrase_id int, term string")))
         if longer:
             hits = hits.unionByName(lexical.phrase_hits(self.index.postings, F.broadcast(self.spark.createDataFrame(longer, "phrase_id int, tokens array<string>"))))
         matches = lexical.scored(hits, clause_rows, self.index.stats, self.index.corpus)

@@ -114,7 +114,7 @@ def _scored(spark: SparkSession, d: str, terms: DataFrame) -> tuple[DataFrame, D
     stats = index.doc_stats(prepared)
     wanted = terms.select("term").distinct().withColumn("phrase_id", F.xxhash64("term"))
     clauses = terms.select("query_id", "group_id", F.xxhash64("term").alias("phrase_id"))
-    hits = lexical.word_hits(index.term_counts(prepared), wanted)
+    hits = lexical.word_hits_in(index.postings(prepared), wanted)
     return lexical.scored(hits, clauses, stats, lexical.corpus_size(stats)), clauses
 
 
