@@ -44,8 +44,7 @@ SALT_ROWS = 64
 QUERY_WORDS = 16
 K1, B = 1.2, 0.75
 _WORDS = 500_000
-_BEYOND_LATIN1 = re.compile("[^\x00-\xff]")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def _crc_shifts(n: int) -> np.ndarray:
@@ -68,6 +67,22 @@ def _piece_crcs(prefix_start: np.ndarray, prefix_stop: np.ndarray, length: np.nd
     return moved ^ prefix_stop
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _two_least(words: np.ndarray) -> tuple[int, int]:
+    """The lexical sketch: the two least scrambled word hashes, padded by 2^32."""
+    x = _scrambled(words)
+    if len(x) > 2:
+        x = np.partition(x, 1)[:2]
+    return tuple((np.sort(x).tolist() + [1 << 32] * 2)[:2])
+
+
 class _Codes(dict):
     """Numbers parts in order of first sight; ``new`` lists what was not known."""
 
@@ -110,9 +125,9 @@ class _Tokens:
 
     def _parts(self, text: str) -> list[str]:
         # below U+0100 lower case is one letter for one in every rule
-        if text.isascii() or not _BEYOND_LATIN1.search(text):
+        if text.isascii() or _is_latin1(text):
             text = text.lower()
-        if _SEPARATORS.search(text):  # Python's white space, but a sign to the vocabulary
+        if any(c in text for c in _SEPARATORS):  # Python's white space, but a sign to the vocabulary
             return [p for p in re.split("[ \t\r\n]", text) if p]
         return text.split()
 
@@ -195,7 +210,7 @@ def _tokenised(path: str):
                     for a in range(0, len(raw), 4 * STEP):
                         crc = zlib.crc32(raw[a : a + 4 * STEP], crc)
                         prefixes.append(crc)
-                    least = tuple((np.sort(_scrambled(words))[:2].tolist() + [1 << 32] * 2)[:2])
+                    least = _two_least(words)
                     seen[least] = nth = seen.get(least, -1) + 1
                     values = (len(tokens), np.array(prefixes, "<u4").tobytes(), words.astype("<u4").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), *least, nth // SALT_ROWS)
                     for column, value in zip(out, values, strict=True):
