@@ -5,11 +5,11 @@ block is released at floor(k / w) and due at ceil((k + 1) / w). Earliest deadlin
 first over released blocks is feasible whenever the weights add up to one, and
 then every source is within one block of its share at every moment.
 
-Weights are rounded to multiples of 1 / ``frame``, so the schedule repeats every
-``frame`` slots. One frame is scheduled on the driver: its size is a parameter and
-does not grow with the data. When a source runs out, a new phase begins with the
-weights of the others scaled to one, so nothing is dropped; there are at most as
-many phases as named sources. A block's slot then follows from arithmetic on its
+Weights are taken as exact fractions, so the schedule repeats after the sum of the
+least integers in their ratio. One such frame is scheduled on the driver, or as many
+slots as there are blocks left, if these are fewer. When a source runs out, a new
+phase begins with the weights of the others scaled to one and a frame of its own, so
+nothing is dropped; there are at most as many phases as named sources. A block's slot then follows from arithmetic on its
 number, without a global order or a task that sees a whole source.
 """
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from quern.llm.common import checkpointed, only, table
 
 REST = "(rest)"
-FRAME = 1000
 BLOCK_CHARS = 1 << 16
 #: Rows per bucket of the running totals inside one source.
 _BUCKET_ROWS = 4096
@@ -33,6 +34,15 @@ _BUCKET_ROWS = 4096
 TARGET = {**{f"src{i}": 2.0 if i < 5 else 1.0 for i in range(20)}, REST: 1.0}
 
 
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Slots per frame without rounding: the least integers in the ratio of the weights as written."""
+    exact = {g: Fraction(str(w)) for g, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    slots = {g: int(x * scale) for g, x in exact.items()}
+    common = math.gcd(*slots.values())
+    return {g: n // common for g, n in slots.items()}
+
+
 def shares(weights: dict[str, float], frame: int) -> dict[str, int]:
     """Slots per frame, at least one for each source, by largest remainder."""
     if len(weights) > frame:
@@ -49,13 +59,13 @@ def shares(weights: dict[str, float], frame: int) -> dict[str, int]:
     return out
 
 
-def schedule_frame(slots: dict[str, int], frame: int) -> dict[str, list[int]]:
-    """Slot of each source's k-th block in one frame: earliest deadline first."""
+def schedule_frame(slots: dict[str, int], frame: int, until: int | None = None) -> dict[str, list[int]]:
+    """Slot of each source's k-th block in one frame, or its first ``until`` slots: earliest deadline first."""
     waiting = [(0, -(-frame // n), g, 0) for g, n in slots.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out: dict[str, list[int]] = {g: [] for g in slots}
-    for now in range(frame):
+    for now in range(frame if until is None else until):
         while waiting and waiting[0][0] <= now:
             _, due, g, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, g, k))
@@ -67,21 +77,33 @@ def schedule_frame(slots: dict[str, int], frame: int) -> dict[str, list[int]]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], frame: int) -> tuple[list[dict], list[dict]]:
+def phases(blocks: dict[str, int], weights: dict[str, float], frame: int | None = None) -> tuple[list[dict], list[dict]]:
     """Phases (which blocks of which source run from which slot) and their frames."""
     done = dict.fromkeys(blocks, 0)
     left = {g: n for g, n in blocks.items() if n}
     base, spans, cells = 0, [], []
     number = 0
     while left:
-        slots = shares({g: weights[g] for g in left}, frame)
-        table_ = schedule_frame(slots, frame)
-        end = min((n - 1) // slots[g] * frame + table_[g][(n - 1) % slots[g]] + 1 for g, n in left.items())
+        mine = {g: weights[g] for g in left}
+        slots = shares(mine, frame) if frame else exact_shares(mine)
+        period = sum(slots.values())
+        # a phase ends when a source runs out, at the latest when all blocks have run
+        until = min(period, sum(left.values()))
+        table_ = schedule_frame(slots, period, until)
+        if until < period:
+            end = min(table_[g][n - 1] + 1 for g, n in left.items() if len(table_[g]) >= n)
+        else:
+            end = min((n - 1) // slots[g] * period + table_[g][(n - 1) % slots[g]] + 1 for g, n in left.items())
         for g, n in list(left.items()):
-            used = end // frame * slots[g] + sum(s < end % frame for s in table_[g])
+            used = end // period * slots[g] + sum(s < end % period for s in table_[g])
             if used:
-                spans.append({"phase": number, "grp": g, "first": done[g], "until": done[g] + used, "n": slots[g], "base": base})
-                cells += [{"phase": number, "grp": g, "k": k, "cell": s} for k, s in enumerate(table_[g])]
+                turn = min(slots[g], used)
+                spans.append({"phase": number, "grp": g, "first": done[g], "until": done[g] + used, "n": turn, "period": min(period, end), "base": base})
+                # windows in whole numbers; a due slot beyond any table is written as 2^62
+                cells += [
+                    {"phase": number, "grp": g, "k": k, "cell": s, "release": k * period // slots[g], "due": min(1 << 62, -(-(k + 1) * period // slots[g]))}
+                    for k, s in enumerate(table_[g][:turn])
+                ]
             done[g] += used
             left[g] -= used
             if not left[g]:
@@ -95,14 +117,15 @@ def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, frame: int = FRAME, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, frame: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(id, grp, block, slot, place, release, due)`` for each row; order by slot, place.
 
     A source's rows are ordered by a hash of their id and laid end to end; every
     ``block_chars`` characters (a row counts one more than its text) begin a
     block, and a row runs with the block in which it begins. Sources without a
     weight, null included, mix as one source named ``(rest)``. Null texts count
-    as empty. Repeated rows follow one another. ``release`` and ``due`` are slots.
+    as empty. Repeated rows follow one another. ``release`` and ``due`` are slots,
+    from the exact weights; only a ``frame`` that is given rounds them to 1 / ``frame``.
     An empty table gives an empty result; weights must be positive.
     """
     weights = dict(weights or TARGET)
@@ -130,18 +153,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = rows.withColumn("inside", F.sum(weight).over(inside) - weight).join(sums.select("grp", "bucket", "before"), ["grp", "bucket"])
     placed = placed.select("id", "grp", "size", (F.col("before") + F.col("inside")).alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
     placed = placed.withColumn("place", F.col("start") + F.col("copy") * F.col("size")).withColumn("block", F.floor(F.col("place") / F.lit(block_chars)))
-    # both tables are bounded by the parameters: (sources + 1) phases of at most `frame` slots
-    span = F.broadcast(_small(spark, spans, "phase int, grp string, first bigint, until bigint, n bigint, base bigint").withColumnRenamed("grp", "span_grp"))
-    cell = F.broadcast(_small(spark, cells, "phase int, grp string, k bigint, cell bigint").withColumnRenamed("grp", "cell_grp").withColumnRenamed("phase", "cell_phase"))
+    # (sources + 1) phases of one frame each: the sum of the integer weights, or the blocks left where these are fewer
+    span = F.broadcast(_small(spark, spans, "phase int, grp string, first bigint, until bigint, n bigint, period bigint, base bigint").withColumnRenamed("grp", "span_grp"))
+    cell = F.broadcast(_small(spark, cells, "phase int, grp string, k bigint, cell bigint, release bigint, due bigint").withColumnRenamed("grp", "cell_grp").withColumnRenamed("phase", "cell_phase"))
     placed = placed.join(span, F.expr("grp = span_grp and block >= first and block < until"))
     placed = placed.withColumn("nth", F.col("block") - F.col("first")).withColumn("turn", F.floor(F.col("nth") / F.col("n"))).withColumn("kk", F.col("nth") % F.col("n"))
     placed = placed.join(cell, F.expr("grp = cell_grp and phase = cell_phase and kk = k"))
-    at = F.col("base") + F.col("turn") * frame
-    return placed.select(
-        "id", "grp", "block", (at + F.col("cell")).alias("slot"), "place",
-        (F.col("base") + F.floor(F.col("nth") * frame / F.col("n"))).alias("release"),
-        (F.col("base") + F.ceil((F.col("nth") + 1) * frame / F.col("n"))).alias("due"),
-    )
+    at = F.col("base") + F.col("turn") * F.col("period")
+    return placed.select("id", "grp", "block", (at + F.col("cell")).alias("slot"), "place", (at + F.col("release")).alias("release"), (at + F.col("due")).alias("due"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -52,3 +52,37 @@ def test_order_and_empty(spark):
     out = pfair.mixed_documents(df, weights={"src0": 1.0, "src1": 1.0, "src2": 1.0}, block_chars=2000)
     assert out.columns == df.columns and Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows)
     assert pfair.mix(df.where("false")).count() == 0
+
+
+def _deviation(blocks, weights):
+    """Largest distance of a source from its true share at any moment of any phase."""
+    spans, cells = pfair.phases(blocks, weights)
+    cell = {(c["phase"], c["grp"], c["k"]): c for c in cells}
+    at = {}
+    for s in spans:
+        for nth in range(s["until"] - s["first"]):
+            c = cell[s["phase"], s["grp"], nth % s["n"]]
+            turn = s["base"] + nth // s["n"] * s["period"]
+            slot = turn + c["cell"]
+            assert turn + c["release"] <= slot < turn + c["due"] and slot not in at
+            at[slot] = (s["phase"], s["grp"])
+    assert sorted(at) == list(range(sum(blocks.values())))
+    left, phase, run, worst = dict(blocks), -1, Counter(), 0
+    for slot in range(len(at)):
+        if at[slot][0] != phase:
+            phase, run, begin = at[slot][0], Counter(), slot
+            share = {g: Fraction(str(weights[g])) for g, n in left.items() if n}
+            total = sum(share.values())
+        run[at[slot][1]] += 1
+        left[at[slot][1]] -= 1
+        worst = max(worst, *(abs(run[g] - w / total * (slot + 1 - begin)) for g, w in share.items()))
+    assert not any(left.values())
+    return worst
+
+
+def test_true_weights_hold_over_many_frames_and_phases():
+    sources = {g: 380 for g in pfair.TARGET if g != pfair.REST}
+    assert _deviation(sources, pfair.TARGET) < 1
+    assert _deviation({**sources, pfair.REST: 300}, pfair.TARGET) < 1
+    # no common frame in reach: the blocks there are, are scheduled
+    assert _deviation({"a": 700, "b": 500, "c": 40}, {"a": 1 / 3, "b": 0.123456789, "c": 1e-20}) < 1
