@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, packing, pfair, simhash, toxicity
-from quern.llm.common import shared_folder, table
+from quern.llm.common import checkpointed, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,10 +40,20 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: that with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("not is_first and component is not null").select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, F.expr("doc_id <=> _id"), "left_anti")
+    """One row of each component of near copies: that with the smallest doc_id, null last, then the least text hash."""
+    # a row is named by id and text, as ids may be null or repeated
+    sha = F.unhex(F.sha2("text", 256))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sha.alias("sha")).alias("key"), "text")
+    found = simhash.near_duplicates(named, "key").groupBy(F.col("id").alias("key")).agg(F.max("is_first").alias("first"), F.count("*").alias("n"))
+    found = checkpointed(found.select(F.col("key.id").alias("_id"), F.col("key.sha").alias("_sha"), "first", "n"))
+    same = F.expr("doc_id <=> _id and _text_sha <=> _sha")
+    marked = docs.withColumn("_text_sha", sha)
+    left = marked.join(found.where("not first").select("_id", "_sha"), same, "left_anti")
+    repeated = found.where("first and n > 1").select("_id", "_sha")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
+    return left.join(repeated, same, "left_anti").union(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,19 @@ def test_stages_on_a_small_table(spark, tmp_path):
 
 def test_stages_are_the_five_in_order():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mix", "pack"]
+
+
+def test_near_copies_are_named_by_row(spark, tmp_path):
+    prose = ["w%d" % (i * i % 97) for i in range(300)]
+    texts = [" ".join([*prose[:150], f"changed{i}", *prose[151:]]) for i in range(4)]
+    other = " ".join("v%d" % (i * 7 % 89) for i in range(300))
+    lone = " ".join("u%d" % (i * 5 % 83) for i in range(300))
+    rows = [(1, texts[0]), (None, texts[1]), (None, "clean text of no id at all"), (1, texts[2]), (1, lone), (None, other), (None, other + " end"), (None, None), (9, texts[3]), (9, "clean text of a repeated id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same = {r.fp for r in pipeline.simhash.fingerprints(docs.where("text like '%changed%'")).collect()}
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a in same for b in same)
+    got = Counter((r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, docs.union(docs), str(tmp_path)).collect())
+    assert set(got.values()) == {1}
+    assert {k for k in got if k[1] and "changed" in k[1]} <= {rows[0], rows[3]} and sum("changed" in (k[1] or "") for k in got) == 1
+    assert sum((k[1] or "").startswith(other) for k in got) == 1
+    assert {rows[2], rows[4], rows[7], rows[9]} <= set(got) and len(got) == 6
