@@ -6,12 +6,17 @@
    documents of like words meet. A sketch that many rows share is salted: each reading
    task sends its first ``SALT_ROWS`` rows of a sketch together, the next ones elsewhere.
 3. A task cuts its sorted rows into shards of bounded size. Each shard is a BM25
-   inverted index over all its documents. Whole windows of a long document are
+   inverted index over all its documents, weighted by document frequencies, number and
+   mean length of all documents, which are counted once before. Whole windows of a long document are
    sequences by themselves; what remains of it seeds or joins a window: the seed's
    words retrieve unused neighbours, best first, which fill the window; the last one
    is cut (at a multiple of ``STEP`` tokens) and its rest stays unused. What a shard
    leaves in a window that is not full is carried to the next shard of the task.
 
+Where rows have slots of a mix, ranges of slots take the place of sketches: a shard lies
+in one range, rows seed in the order of the mix, no window spans two ranges and the
+sequences are numbered by range.
+
 A piece's CRC-32 follows from the prefixes at its two ends, as CRC is linear, so no
 text is tokenised twice.
 """
@@ -27,12 +32,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, table
+from quern.llm.common import checkpointed, only, table
 
 LENGTH, STEP, END = 2048, 16, 1
 SHARD_DOCS, SHARD_POSTINGS = 4000, 2_000_000
@@ -40,8 +46,8 @@ SHARD_DOCS, SHARD_POSTINGS = 4000, 2_000_000
 TASK_DOCS = 20_000
 #: Rows of one sketch that a reading task sends to one place.
 SALT_ROWS = 64
-#: Words of a seed that form its query: those of most BM25 weight.
-QUERY_WORDS = 16
+#: Slots of a mix that are packed together, and such ranges per task.
+RANGE_SLOTS, TASK_RANGES = 100, 4
 K1, B = 1.2, 0.75
 _WORDS = 500_000
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -193,9 +199,12 @@ def _tokens(path: str) -> _Tokens:
     return _Tokens(path)
 
 
+_TOKENISED = "id bigint, tokens bigint, prefixes binary, words binary, counts binary, sketch bigint, sketch2 bigint, salt bigint, n_words bigint"
+
+
 def _tokenised(path: str):
-    names = ["id", "tokens", "prefixes", "words", "counts", "sketch", "sketch2", "salt"]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    names = ["id", "tokens", "prefixes", "words", "counts", "sketch", "sketch2", "salt", "n_words"]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokens(path)
@@ -212,10 +221,12 @@ def _tokenised(path: str):
                         prefixes.append(crc)
                     least = _two_least(words)
                     seen[least] = nth = seen.get(least, -1) + 1
-                    values = (len(tokens), np.array(prefixes, "<u4").tobytes(), words.astype("<u4").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), *least, nth // SALT_ROWS)
+                    counts = np.minimum(counts, 65535)
+                    values = (len(tokens), np.array(prefixes, "<u4").tobytes(), words.astype("<u4").tobytes(), counts.astype("<u2").tobytes(), *least, nth // SALT_ROWS, int(counts.sum()))
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([ids[at : at + 200], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
+                more = [c[at : at + 200] for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([ids[at : at + 200], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *more], [*names, *batch.schema.names[2:]])
 
     return run
 
@@ -225,43 +236,100 @@ def _scrambled(words: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) >> np.uint64(32)
 
 
+#: Keys of the number of documents and of their words among the document frequencies.
+_DOCS, _LENGTH = -1, -2
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(task, word, n): documents of a packing task that hold a word."""
+    keys, n, docs, length, task = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column(0)[0].as_py()
+        docs += batch.num_rows
+        length += sum(batch.column(2).to_pylist())
+        found, more = np.unique(np.concatenate([np.frombuffer(w, "<u4") for w in batch.column(1).to_pylist()]), return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, more]), len(keys)).astype(np.int64)
+    if task is not None:
+        keys, n = np.append(keys.astype(np.int64), [_DOCS, _LENGTH]), np.append(n, [docs, length])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), task, np.int32)), pa.array(keys), pa.array(n)], ["task", "word", "n"])
+
+
+def corpus_statistics(ready: DataFrame, tasks: int) -> DataFrame:
+    """``(task, word, df)``: for every task, the corpus-wide frequency of each of its words that is in two documents or more."""
+    words = ready.select("task", "words", "n_words").repartitionById(tasks, "task").mapInArrow(_frequencies, "task int, word bigint, n bigint")
+    # at most one row of a word for each task
+    total = words.withColumn("df", F.sum("n").over(Window.partitionBy("word")))
+    return total.where("df > 1 or word < 0").select("task", "word", "df")
+
+
+class _Corpus:
+    """Number, mean length and document frequencies of all documents; a word not listed is in one."""
+
+    def __init__(self, words: np.ndarray, df: np.ndarray, docs: int, mean: float):
+        self.words, self.df, self.docs, self.mean = words, df, docs, mean
+
+    @classmethod
+    def listed(cls, words: np.ndarray, df: np.ndarray) -> _Corpus:
+        """From the rows of ``corpus_statistics`` for one task."""
+        order = np.argsort(words)
+        words, df = words[order], df[order]
+        at = int(np.searchsorted(words, 0))
+        whole = dict(zip(words[:at].tolist(), df[:at].tolist(), strict=True))
+        return cls(words[at:].astype(np.uint32), df[at:].astype(np.uint32), whole[_DOCS], whole[_LENGTH] / max(1, whole[_DOCS]))
+
+    def frequencies(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.ones(len(terms), np.int64)
+        at = np.minimum(np.searchsorted(self.words, terms), len(self.words) - 1)
+        return np.where(self.words[at] == terms, self.df[at], 1).astype(np.int64)
+
+
 class _Shard:
-    """A BM25 inverted index over the word counts of some documents."""
+    """A BM25 inverted index over the word counts of some documents, weighted as in the whole corpus (or by itself)."""
 
-    def __init__(self, words: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, words: list[np.ndarray], counts: list[np.ndarray], corpus: _Corpus | None = None):
         n = len(words)
         size = np.array([len(w) for w in words], np.int64)
         terms, codes = np.unique(np.concatenate(words) if n else np.zeros(0, np.uint32), return_inverse=True)
         docs = np.repeat(np.arange(n), size)
         tf = np.concatenate(counts).astype(np.float64) if n else np.zeros(0)
         length = np.bincount(docs, tf, n)
-        df = np.bincount(codes, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / max(1.0, length.mean() if n else 1.0)))
+        here = np.bincount(codes, minlength=len(terms))
+        if corpus is None:
+            corpus = _Corpus(terms, here, n, length.mean() if n else 1.0)
+        df = corpus.frequencies(terms)
+        idf = np.log1p((corpus.docs - df + 0.5) / (df + 0.5))
+        weight = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / max(1.0, corpus.mean)))
         order = np.argsort(codes, kind="stable")
         self.docs, self.weight = docs[order].astype(np.int32), weight[order].astype(np.float32)
-        self.at = np.concatenate([[0], np.cumsum(df)])
-        # each document's words of most weight, as its query
-        of_doc = np.lexsort((codes, -weight, docs))
+        self.at = np.concatenate([[0], np.cumsum(here)])
+        # all words of a document are its query, but one that no other document here holds finds nobody
         first = np.concatenate([[0], np.cumsum(size)])
-        # a word of one document alone retrieves nobody
-        useful = df[codes[of_doc]] > 1
-        self.queries = []
-        for d in range(n):
-            mine = of_doc[first[d] : first[d + 1]][useful[first[d] : first[d + 1]]]
-            self.queries.append(codes[mine[:QUERY_WORDS]])
-        self.n = n
+        useful = here[codes] > 1
+        self.queries = [codes[a:b][useful[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.n, self.live, self.calls = n, n, 0
+
+    def _forget_used(self, unused: np.ndarray) -> None:
+        """Postings of used documents go once they are half of all."""
+        self.calls += 1
+        if self.calls % 16 == 0 and 2 * (left := int(unused.sum())) < self.live:
+            keep = unused[self.docs]
+            self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+            self.docs, self.weight, self.live = self.docs[keep], self.weight[keep], left
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share query words with ``doc``, best first."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.queries[doc]]
-        if not spans:
+        """Unused documents that share words with ``doc``, best first."""
+        self._forget_used(unused)
+        query = self.queries[doc]
+        if not len(query):
             return np.zeros(0, np.int64)
-        found = np.concatenate([self.docs[s] for s in spans])
-        keep = unused[found]
-        scores = np.bincount(found[keep], np.concatenate([self.weight[s] for s in spans])[keep], self.n)
-        hit = np.flatnonzero(scores)
-        return hit[np.lexsort((hit, -scores[hit]))]
+        spans = [slice(a, b) for a, b in zip(self.at[query].tolist(), self.at[query + 1].tolist(), strict=True)]
+        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        hit = np.flatnonzero((scores > 0) & unused)
+        return hit[np.argsort(-scores[hit], kind="stable")]
 
 
 class _Packer:
@@ -311,7 +379,8 @@ class _Packer:
             self.open = None
 
 
-def _packed(length: int):
+def _packed(length: int, range_slots: int | None = None):
+    """A task's statistics (rows with a word) come before its documents; with ``range_slots``, these have slots."""
     shifts = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,12 +388,13 @@ def _packed(length: int):
         shifts = _crc_shifts(length) if shifts is None else shifts
         task = np.int64(TaskContext.get().partitionId()) << 40
         packer = _Packer(length)
-        held, postings = [], 0
+        held, postings, now = [], 0, None
+        listed, corpus = [], None
 
         def shard_out() -> pa.RecordBatch:
             tokens = np.array([r[1] for r in held], np.int64)
             packer.pieces = []
-            packer.pack(tokens, _Shard([r[3] for r in held], [r[4] for r in held]))
+            packer.pack(tokens, _Shard([r[3] for r in held], [r[4] for r in held], corpus))
             doc, start, n, sequence, offset = (np.array(c, np.int64) for c in zip(*packer.pieces, strict=True))
             prefix = [r[2] for r in held]
             at = np.array([[prefix[d][s // STEP], prefix[d][-(-(s + k) // STEP)]] for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)], np.uint64)
@@ -333,7 +403,22 @@ def _packed(length: int):
             return pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(n), pa.array(crc.astype(np.int64)), pa.array(tokens[doc]), pa.array(task + sequence), pa.array(offset)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            known = batch.filter(pc.is_valid(batch.column("word")))
+            if known.num_rows:
+                listed.append((known.column("word").to_numpy(), known.column("df").to_numpy()))
+                batch = batch.filter(pc.is_null(batch.column("word")))
+            if not batch.num_rows:
+                continue
+            if corpus is None:
+                corpus = _Corpus.listed(*(np.concatenate(c) for c in zip(*listed, strict=True)))
+            slots = batch.column("slot").to_pylist() if range_slots else [0] * batch.num_rows
+            for *row, slot in zip(*(batch.column(c).to_pylist() for c in ("id", "tokens", "prefixes", "words", "counts")), slots, strict=True):
+                if range_slots and slot // range_slots != now:
+                    if held:
+                        yield shard_out()
+                        held, postings = [], 0
+                    now = slot // range_slots
+                    packer, task = _Packer(length), np.int64(now) << 40
                 words = np.frombuffer(row[3], "<u4")
                 held.append((row[0], row[1], np.frombuffer(row[2], "<u4"), words, np.frombuffer(row[4], "<u2")))
                 postings += len(words)
@@ -346,14 +431,16 @@ def _packed(length: int):
     return run
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, slot_cols: tuple[str, str] | None = None) -> DataFrame:
     """``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` per piece.
 
     A document is its text's token ids (null text: none) and one end id. Every id
     lies in exactly one piece; a piece never leaves its sequence of ``length`` ids
     and offsets are gapless. ``start`` of a cut is a multiple of 16, so a full
     window lacks at most 15 ids. ``tokenizer`` is a path that every executor can
-    read (default: the installed public vocabulary). Repeated rows and null ids are
+    read (default: the installed public vocabulary). ``slot_cols`` name the slot of a mix
+    and the place in it: sequences then follow the mix, as ``RANGE_SLOTS`` slots are packed
+    by themselves and ``sequence_id`` ascends with the slots. Repeated rows and null ids are
     packed row by row. An empty table gives an empty result.
     """
     if length % STEP:
@@ -362,11 +449,20 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    rows = only(df, id=id_col, text=text_col)
-    tasks = max(1, -(-rows.count() // TASK_DOCS))
-    ready = rows.mapInArrow(_tokenised(tokenizer), "id bigint, tokens bigint, prefixes binary, words binary, counts binary, sketch bigint, sketch2 bigint, salt bigint")
-    dealt = ready.repartition(tasks, "sketch", "sketch2", "salt").sortWithinPartitions("sketch", "sketch2", "id")
-    return dealt.mapInArrow(_packed(length), "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    slots = dict(zip(("slot", "place"), slot_cols, strict=True)) if slot_cols else {}
+    rows = only(df, id=id_col, text=text_col, **slots)
+    schema = _TOKENISED + "".join(f", {c} bigint" for c in slots)
+    ready = checkpointed(rows.mapInArrow(_tokenised(tokenizer), schema))
+    if slots:
+        tasks = (ready.agg(F.max("slot")).first()[0] or 0) // (RANGE_SLOTS * TASK_RANGES) + 1
+        task, order = F.floor(F.col("slot") / (RANGE_SLOTS * TASK_RANGES)), ("slot", "place", "id")
+    else:
+        tasks = max(1, -(-rows.count() // TASK_DOCS))
+        task, order = F.pmod(F.xxhash64("sketch", "sketch2", "salt"), F.lit(tasks)), ("sketch", "sketch2", "id")
+    ready = ready.withColumn("task", task.cast("int"))
+    dealt = ready.unionByName(corpus_statistics(ready, tasks), allowMissingColumns=True).repartitionById(tasks, "task")
+    dealt = dealt.sortWithinPartitions(F.col("word").isNull(), *order)
+    return dealt.mapInArrow(_packed(length, RANGE_SLOTS if slots else None), "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

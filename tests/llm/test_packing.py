@@ -78,3 +78,25 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "d")], "doc_id bigint, text string")
     assert sorted(r.length for r in packing.pack(df).collect()) == [2, 4, 4]
     assert packing.pack(df.where("false")).count() == 0
+
+
+def test_statistics_are_of_the_whole_corpus_and_queries_whole(spark):
+    rows = [(i, "common " + ("rare " if i % 5 == 0 else "") + f"own{i} common") for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    ready = df.mapInArrow(packing._tokenised(public_tokenizers.path("word_bpe_49k.json")), packing._TOKENISED).selectExpr("*", "cast(coalesce(id, 0) % 2 as int) as task")
+    found = packing.corpus_statistics(ready, 2).collect()
+    for task in (0, 1):
+        corpus = packing._Corpus.listed(*(np.array([r[k] for r in found if r.task == task]) for k in (1, 2)))
+        assert corpus.docs == 41 and sorted(corpus.df.tolist()) == [8, 40]
+        assert corpus.mean == sum(len((t or "").split()) for _, t in rows) / 41
+    # two words as frequent as each other in the shard, but not in the corpus
+    words = [np.array(w, np.uint32) for w in ([1, 2], [1, 3], [2, 4])]
+    known = packing._Corpus(np.array([1, 2], np.uint32), np.array([900, 2]), 1000, 2.0)
+    unused = np.array([False, True, True])
+    assert packing._Shard(words, [np.ones(2, np.uint16)] * 3, known).neighbours(0, unused).tolist() == [2, 1]
+    known.df = known.df[::-1]
+    assert packing._Shard(words, [np.ones(2, np.uint16)] * 3, known).neighbours(0, unused).tolist() == [1, 2]
+    # thirty rarer words of the seed do not hide a neighbour that shares only the commonest one
+    words = [np.arange(31, dtype=np.uint32), np.array([0, 50], np.uint32), *(np.array([0, k], np.uint32) for k in range(1, 31))]
+    shard = packing._Shard(words, [np.ones(len(w), np.uint16) for w in words])
+    assert 1 in shard.neighbours(0, np.arange(len(words)) > 0)
