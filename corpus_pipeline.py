@@ -62,8 +62,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2,048 tokens."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """Pieces of sequences of 2,048 tokens, numbered in the order of the mix."""
+    placed = pfair.placed_documents(docs, weights=pfair.TARGET)
+    return packing.pack(placed, slot_cols=("_slot", "_place")).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -163,12 +163,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return placed.select("id", "grp", "block", (at + F.col("cell")).alias("slot"), "place", (at + F.col("release")).alias("release"), (at + F.col("due")).alias("due"))
 
 
+def placed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``df``, none dropped, with ``_slot`` and ``_place`` of the mix."""
+    # rows are named by id, source and text, so that rows of null or repeated ids keep slots of their own;
+    # equal rows stay together and come out once each
+    keyed = df.withColumn("_mix_key", F.xxhash64(id_col, source_col, text_col))
+    order = mix(keyed, "_mix_key", text_col, source_col, **how).groupBy("id").agg(F.min(F.struct("slot", "place")).alias("at"))
+    order = order.select(F.col("id").alias("_mix_id"), F.col("at.slot").alias("_slot"), F.col("at.place").alias("_place"))
+    return keyed.join(order, F.expr("_mix_key = _mix_id")).drop("_mix_key", "_mix_id")
+
+
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``df`` in the order of the mix, none dropped."""
-    # rows that share an id stay together and come out once each
-    order = mix(df, id_col, **how).groupBy("id").agg(F.min(F.struct("slot", "place")).alias("_mix_at")).withColumnRenamed("id", "_mix_id")
-    joined = df.join(order, F.expr(f"`{id_col}` <=> _mix_id"), "inner")
-    return joined.orderBy("_mix_at").select(*(joined[c] for c in df.columns))
+    return placed_documents(df, id_col, **how).orderBy("_slot", "_place").select(*df.columns)
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -46,3 +47,36 @@ def test_near_copies_are_named_by_row(spark, tmp_path):
     assert {k for k in got if k[1] and "changed" in k[1]} <= {rows[0], rows[3]} and sum("changed" in (k[1] or "") for k in got) == 1
     assert sum((k[1] or "").startswith(other) for k in got) == 1
     assert {rows[2], rows[4], rows[7], rows[9]} <= set(got) and len(got) == 6
+
+
+def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline.packing, "RANGE_SLOTS", 6)
+    rng = random.Random(3)
+    rows = []
+    for source, n in (("src0", 900), ("src7", 450)):
+        # a source's texts share all their words, so that every sketch of one is alike
+        words = [f"{source}{chr(97 + k)}" for k in range(26)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=400) + words), "en", source, 1) for i in range(n)]
+    rows.append((None, "no id " * 60, "en", "src7", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    source = {r[0]: r[3] for r in rows}
+    assert {r.doc_id for r in out} == set(source)
+    tokens, run, worst = Counter(), Counter(), 0
+    for r in out:
+        tokens[r.sequence_id] += r.length
+    share = Counter()
+    for r in out:
+        share[source[r.doc_id]] += r.length
+    whole = sum(share.values())
+    # 2 : 1 in every stretch of the sequences, up to one range of slots
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        run[source[r.doc_id]] += r.length
+        worst = max(worst, abs(run["src0"] - sum(run.values()) * share["src0"] / whole))
+    slots = sum(len(r[1]) for r in rows) / pipeline.pfair.BLOCK_CHARS
+    assert 0.6 < share["src0"] / whole < 0.7
+    assert worst < 4 * whole / slots, worst * slots / whole
+    assert len({s >> 40 for s in tokens}) == -(-slots // 6)
+    assert max(tokens.values()) <= 2048
