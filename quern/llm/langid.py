@@ -5,8 +5,8 @@ words padded by a blank) in rank order, counted over all training texts. A text'
 own most frequent n-grams are compared by out-of-place distance: the sum of how far
 each stands from its place in the profile, or the maximum where it is absent.
 
-Letters are numbered by an alphabet learned in a first pass; a letter outside it has
-one number of its own. An n-gram is then one integer, so counting is integer
+All letters of the training texts are numbered in a first pass; letters outside them
+share one number. An n-gram is then one integer, so counting is integer
 arithmetic, and partial counts of a batch are combined before they are shuffled.
 """
 
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import only, table
 
 PROFILE = 400
-#: Letters numbered per language, by frequency; 12 bits hold every number.
-LETTERS = 200
+#: Bits of a letter's number, more where the alphabet is larger: 18 hold every letter of Unicode, 20 fit three times.
 _BITS, _BLANK, _OTHER = 12, 0, 1
 _LETTER = regex.compile(r"\p{L}")
 _LETTERS_FOUND: dict[int, bool] = {}
@@ -59,12 +58,12 @@ def _numbered(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return np.concatenate([[_BLANK], numbers[keep], [_BLANK]]).astype(np.int64)
 
 
-def _grams(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """n-gram integers and their counts; an n-gram has a blank at its ends only, and is not all blank."""
     one, a, b, c = numbers, numbers[:-2], numbers[1:-1], numbers[2:]
-    two = ((numbers[:-1] << _BITS) | numbers[1:])[(numbers[:-1] | numbers[1:]) > 0]
-    three = ((a << 2 * _BITS) | (b << _BITS) | c)[b > 0]
-    found = np.concatenate([one[one > 0], two | (1 << 3 * _BITS), three | (2 << 3 * _BITS)])
+    two = ((numbers[:-1] << bits) | numbers[1:])[(numbers[:-1] | numbers[1:]) > 0]
+    three = ((a << 2 * bits) | (b << bits) | c)[b > 0]
+    found = np.concatenate([one[one > 0], two | (1 << 3 * bits), three | (2 << 3 * bits)])
     return np.unique(found, return_counts=True)
 
 
@@ -81,7 +80,8 @@ def _blocks(text: str) -> Iterator[str]:
 
 
 def _counted(text: str, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_grams(_numbered(c, alphabet)) for c in map(_codes, _blocks(text)) if c.any()]
+    bits = max(_BITS, (len(alphabet) + 1).bit_length())
+    parts = [_grams(_numbered(c, alphabet), bits) for c in map(_codes, _blocks(text)) if c.any()]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return parts[0] if len(parts) == 1 else _summed(parts)
@@ -180,8 +180,9 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: i
     """Profiles over all rows with a language and a text; counts cover whole texts."""
     rows = only(df, lang=lang_col, text=text_col).where("lang is not null and text is not null")
     schema = "lang string, key bigint, n bigint"
-    letters = _top(rows.mapInArrow(_per_language(_letters), schema), LETTERS)
-    alphabet = np.unique(np.array([k for found in letters.values() for k in found], np.int64))[: (1 << _BITS) - 3]
+    # at most the letters of Unicode reach the driver
+    letters = rows.mapInArrow(_per_language(_letters), schema).select("key").distinct().toArrow()
+    alphabet = np.sort(letters["key"].to_numpy())
     if not len(alphabet):
         return Profiles(np.zeros(1, np.int64), {}, size)
     grams = rows.mapInArrow(_per_language(lambda text: _counted(text, alphabet)), schema)

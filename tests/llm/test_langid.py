@@ -63,3 +63,14 @@ def test_held_out_accuracy(spark, sf):
     d = f"/root/testdata/{sf}"
     got = langid.op10_language_id(spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").where("lang is not null"), "doc_id")
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def test_every_letter_of_the_training_texts_is_numbered(spark):
+    # two languages that differ in rarer letters only, beyond 200 a language and 4,093 in all
+    common = "".join(chr(0x4E00 + i) for i in range(250))
+    rare = {"aa": "".join(chr(0x5000 + i) for i in range(2600)), "bb": "".join(chr(0xAC00 + i) for i in range(2600))}
+    rows = [(lang, common * 3 + letters) for lang, letters in rare.items()]
+    profiles = langid.learn(spark.createDataFrame(rows, "lang string, text string"), size=20000)
+    assert {ord(c) for c in common + rare["aa"] + rare["bb"]} == set(profiles.alphabet.tolist())
+    for lang, letters in rare.items():
+        assert profiles.predict(letters[2000:2100])[0] == lang
