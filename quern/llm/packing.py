@@ -1,13 +1,16 @@
 """Packing documents into fixed windows by lexical retrieval.
 
-1. One pass tokenises: ids are not moved, but each document's length, CRC-32
-   prefixes at every ``STEP`` tokens and its word counts are.
+1. One pass tokenises: ids are not moved, but each document's length, the CRC-32 of
+   every ``STEP`` tokens and its word counts are. Words are named by 32 bits of hash,
+   which only scores depend on.
 2. Documents are dealt out by a lexical sketch (the two least word hashes), so that
-   documents of like words meet. A sketch that many rows share is salted: each reading
-   task sends its first ``SALT_ROWS`` rows of a sketch together, the next ones elsewhere.
+   documents of like words meet. A sketch that more than ``HOT_ROWS`` rows share is
+   dealt over as many places as it needs. Tasks are sized by bytes.
 3. A task cuts its sorted rows into shards of bounded size. Each shard is a BM25
    inverted index over all its documents, weighted by document frequencies, number and
-   mean length of all documents, which are counted once before. Whole windows of a long document are
+   mean length of all documents, which are counted once before. Common words of a shard
+   are rows of a matrix, so that their share of many seeds' scores is one product; the
+   others are posting lists. Whole windows of a long document are
    sequences by themselves; what remains of it seeds or joins a window: the seed's
    words retrieve unused neighbours, best first, which fill the window; the last one
    is cut (at a multiple of ``STEP`` tokens) and its rest stays unused. What a shard
@@ -17,15 +20,14 @@ Where rows have slots of a mix, ranges of slots take the place of sketches: a sh
 in one range, rows seed in the order of the mix, no window spans two ranges and the
 sequences are numbered by range.
 
-A piece's CRC-32 follows from the prefixes at its two ends, as CRC is linear, so no
-text is tokenised twice.
+A piece's CRC-32 follows from those of its parts, as CRC is linear, so no text is
+tokenised twice.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,164 +35,207 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed, only, table
+from quern.llm.common import checkpointed, join_on_hidden_key, only, table
 
 LENGTH, STEP, END = 2048, 16, 1
 SHARD_DOCS, SHARD_POSTINGS = 4000, 2_000_000
-#: Documents per task of the packing stage.
-TASK_DOCS = 20_000
-#: Rows of one sketch that a reading task sends to one place.
-SALT_ROWS = 64
+#: Documents, and bytes of word counts and sums, per task of the packing stage.
+TASK_DOCS, TASK_BYTES = 20_000, 24_000_000
+#: Rows of one sketch that meet in one place.
+HOT_ROWS = 256
+#: Hot sketches that may be broadcast; more are joined by shuffle.
+HOT_BROADCAST = 50_000
 #: Slots of a mix that are packed together, and such ranges per task.
 RANGE_SLOTS, TASK_RANGES = 100, 4
 K1, B = 1.2, 0.75
-_WORDS = 500_000
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Parts a worker remembers, and bytes of text it takes at a time.
+_WORDS, _CHUNK = 500_000, 4_000_000
+#: Words that at least one in so many documents of a shard hold are scored by matrix product.
+_COMMON = 8
+#: Seeds whose common words are scored at a time.
+_SEEDS = 64
 
 
+@functools.lru_cache(maxsize=2)
 def _crc_shifts(n: int) -> np.ndarray:
-    """Row t maps a CRC-32 register over 4*t zero bytes: 32 columns, one a bit."""
-    unit = 1 << np.arange(32, dtype=np.uint64)
-    step = np.array([zlib.crc32(b"\0\0\0\0", int(b)) ^ zlib.crc32(b"\0\0\0\0", 0) for b in unit], np.uint64)
-    out = np.empty((n + 1, 32), np.uint64)
-    out[0] = unit
+    """Row t holds four tables, one a byte, that move a CRC-32 over 4*t zero bytes."""
+    bit = np.arange(32, dtype=np.uint32)
+    step = np.array([zlib.crc32(b"\0\0\0\0", 1 << int(b)) ^ zlib.crc32(b"\0\0\0\0", 0) for b in bit], np.uint32)
+    units = np.empty((n + 1, 32), np.uint32)
+    units[0] = np.uint32(1) << bit
     for t in range(1, n + 1):
-        # one more word of zeros: apply `step` to every column
-        bits = (out[t - 1][:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
-        out[t] = np.bitwise_xor.reduce(np.where(bits == 1, step[None, :], np.uint64(0)), axis=1)
-    return out
-
-
-def _piece_crcs(prefix_start: np.ndarray, prefix_stop: np.ndarray, length: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """CRC of the tokens between two prefixes: crc(AB) = shift(crc(A), |B|) ^ crc(B)."""
-    bits = (prefix_start[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
-    moved = np.bitwise_xor.reduce(np.where(bits == 1, shifts[length], np.uint64(0)), axis=1)
-    return moved ^ prefix_stop
-
-
-def _is_latin1(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def _two_least(words: np.ndarray) -> tuple[int, int]:
-    """The lexical sketch: the two least scrambled word hashes, padded by 2^32."""
-    x = _scrambled(words)
-    if len(x) > 2:
-        x = np.partition(x, 1)[:2]
-    return tuple((np.sort(x).tolist() + [1 << 32] * 2)[:2])
-
-
-class _Codes(dict):
-    """Numbers parts in order of first sight; ``new`` lists what was not known."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> int:
-        self[part] = code = len(self)
-        self.new.append(part)
-        return code
+        # one more word of zeros: apply `step` to every unit
+        bits = (units[t - 1][:, None] >> bit) & np.uint32(1)
+        units[t] = np.bitwise_xor.reduce(np.where(bits == 1, step[None, :], np.uint32(0)), axis=1)
+    tables = np.zeros((n + 1, 4, 256), np.uint32)
+    for b in range(8):  # a byte's entry is that of its lower bits and of its highest
+        tables[:, :, 1 << b : 2 << b] = tables[:, :, : 1 << b] ^ units.reshape(n + 1, 4, 8)[:, :, b : b + 1]
+    return tables
+
+
+def _moved(crc: np.ndarray, tokens: np.ndarray | int, shifts: np.ndarray) -> np.ndarray:
+    """CRCs after ``tokens`` more tokens of zeros."""
+    low = np.uint32(255)
+    return shifts[tokens, 0, crc & low] ^ shifts[tokens, 1, (crc >> np.uint32(8)) & low] ^ shifts[tokens, 2, (crc >> np.uint32(16)) & low] ^ shifts[tokens, 3, crc >> np.uint32(24)]
+
+
+def _step_crcs(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32 of every ``STEP`` ids of each document (the last ones may be fewer), and their number."""
+    steps = -(-size // STEP)
+    total = int(steps.sum())
+    end = np.cumsum(steps)
+    nth = np.arange(total) - np.repeat(end - steps, steps)
+    start = np.repeat(first, steps) + nth * STEP
+    n = np.minimum(np.repeat(size, steps) - nth * STEP, STEP)
+    state = np.full(total, 0xFFFFFFFF, np.uint32)
+    word = _crc_shifts(1)
+    padded = np.append(ids, np.zeros(STEP, np.uint32))
+    for j in range(STEP):
+        after = _moved(state ^ padded[start + j], 1, word)
+        state = np.where(j < n, after, state)
+    return state ^ np.uint32(0xFFFFFFFF), steps
+
+
+def _piece_crcs(crcs: np.ndarray, at: np.ndarray, tokens: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """CRC of each piece from those of its steps: crc(AB) = moved(crc(A), |B|) ^ crc(B)."""
+    steps = -(-length // STEP)
+    end = np.cumsum(steps)
+    nth = np.arange(int(steps.sum())) - np.repeat(end - steps, steps)
+    mine = crcs[np.repeat(at[doc] + start // STEP, steps) + nth]
+    after = np.repeat(length, steps) - np.minimum((nth + 1) * STEP, np.repeat(length, steps))
+    return np.bitwise_xor.reduceat(_moved(mine, after, shifts), end - steps)
+
+
+#: Small letters below U+0100: runs of them are units that no normal form or lower case changes.
+_UNIT = "[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+"
+_STOPS = ".,;:!?"
 
 
 class _Tokens:
-    """Token ids of texts, remembered by white-space separated part.
+    """Token ids of texts, remembered by part (what lies between ASCII white space).
 
     The vocabulary never joins across white space, so parts are independent. It lower-
     cases and separates letters from other signs, so a part of letters is one unit, and
     one that ends in a single stop is that unit and the stop. New units are encoded many
-    at a time and told apart by the vocabulary's word ends; all other parts one by one.
-    Ids and word hashes of known parts lie in flat arrays, from which texts are gathered.
+    at a time, by the merges alone, and told apart by the vocabulary's word ends; all
+    other parts go one by one through the whole model. Ids of known parts lie in a flat
+    array, from which texts are gathered; a part's word is the hash of its ids without the stop.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        self.units = Tokenizer(self.model.model)
+        self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.stops = {c: tuple(self.model.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
-        self._forget()
+        stops = [self.model.encode(c, add_special_tokens=False).ids for c in _STOPS]
+        self.stops = np.array([i for (i,) in stops], np.uint32)
+        self.parts = pa.array([], pa.string())
+        self.flat, self.at, self.hash, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
-        self.codes = _Codes()
-        self.flat = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-        self.hash = np.zeros(0, np.uint32)
-
-    def _parts(self, text: str) -> list[str]:
-        # below U+0100 lower case is one letter for one in every rule
-        if text.isascii() or _is_latin1(text):
-            text = text.lower()
-        if any(c in text for c in _SEPARATORS):  # Python's white space, but a sign to the vocabulary
-            return [p for p in re.split("[ \t\r\n]", text) if p]
-        return text.split()
-
-    def _learn(self, new: list[str]) -> None:
-        stops, ids = self.stops, {}
-        units, rest = set(), []
-        for p in new:
-            if p.isalpha():
-                units.add(p)
-            elif p[-1] in stops and p[:-1].isalpha():
-                units.add(p[:-1])
-            else:
-                rest.append(p)
-        found = self._units(list(units))
-        if rest:
-            ids = dict(zip(rest, (e.ids for e in self.model.encode_batch(rest, add_special_tokens=False)), strict=True))
-        out = [found[p] if p in found else ids[p] if p in ids else (*found[p[:-1]], *stops[p[-1]]) for p in new]
-        digest = xxhash.xxh32_intdigest
-        words = [digest((p[:-1] if p[-1] in stops else p).encode("utf-8", "surrogatepass"), 3) for p in new]
-        size = np.fromiter(map(len, out), np.int64, len(out))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(out), np.uint32, int(size.sum()))])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-        self.hash = np.concatenate([self.hash, np.array(words, np.uint32)])
-
-    def _units(self, units: list[str]) -> dict[str, list[int]]:
-        out = {}
-        for at in range(0, len(units), 2000):
-            some = units[at : at + 2000]
-            ids = self.model.encode(" ".join(some), add_special_tokens=False).ids
-            cuts = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
-            if len(cuts) != len(some):  # a unit is not one unit to the vocabulary after all
-                out.update((u, e.ids) for u, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True))
-                continue
-            begin = 0
-            for unit, end in zip(some, cuts.tolist(), strict=True):
-                out[unit] = ids[begin:end]
-                begin = end
-        return out
-
-    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids with the end id, word hashes, their counts) of each text."""
-        if len(self.codes) > _WORDS:
+        """Keep the parts that several chunks held, if these are the lesser half."""
+        keep = np.flatnonzero(self.seen > 2)
+        if 2 * len(keep) > _WORDS:
+            keep = keep[:0]
+        size = self.at[keep + 1] - self.at[keep]
+        self.flat = self.flat[_spans(self.at[keep], size)]
+        self.parts, self.at, self.hash, self.seen = self.parts.take(pa.array(keep)), np.append(0, np.cumsum(size)), self.hash[keep], np.zeros(len(keep), np.int32)
+
+    def _learn(self, new: pa.Array) -> None:
+        unit = pc.match_substring_regex(new, f"^{_UNIT}$").to_numpy(zero_copy_only=False)
+        stopped = pc.match_substring_regex(new, f"^{_UNIT}[{_STOPS}]$").to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~(unit | stopped))
+        base = pc.if_else(pa.array(stopped), pc.utf8_slice_codeunits(new, 0, -1), new).take(pa.array(np.flatnonzero(unit | stopped))).dictionary_encode()
+        ids, size = self._encoded(base.dictionary)
+        index = base.indices.to_numpy()
+        at = np.cumsum(size) - size
+        more = [e.ids for e in self.model.encode_batch_fast(new.take(pa.array(other)).to_pylist(), add_special_tokens=False)] if len(other) else []
+        n_more = np.fromiter(map(len, more), np.int64, len(more))
+        # both kinds in the order of `new`
+        first, sizes = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        first[unit | stopped], sizes[unit | stopped] = at[index], size[index]
+        first[other], sizes[other] = len(ids) + np.cumsum(n_more) - n_more, n_more
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint32, int(n_more.sum()))])
+        flat = ids[_spans(first, sizes)]
+        end = np.cumsum(sizes)
+        words = _hashed(flat, end - sizes, sizes)
+        last = pc.utf8_slice_codeunits(new, -1).take(pa.array(np.flatnonzero(stopped)))
+        flat = np.insert(flat, end[stopped], self.stops[pc.index_in(last, pa.array(list(_STOPS))).to_numpy()])
+        self.flat = np.concatenate([self.flat, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes + stopped)])
+        self.hash = np.concatenate([self.hash, words])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
+        self.parts = pa.concat_arrays([self.parts, new])
+
+    def _encoded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after the other, and their number."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        some = units.to_numpy(zero_copy_only=False).tolist()
+        for at in range(0, len(some), 1000):
+            few = some[at : at + 1000]
+            found = np.array(self.units.encode_batch_fast([" ".join(few)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) != len(few):  # a unit is not one unit to the vocabulary after all
+                each = [e.ids for e in self.model.encode_batch_fast(few, add_special_tokens=False)]
+                found, cuts = np.array(list(chain.from_iterable(each)), np.uint32), np.cumsum([len(e) for e in each])
+            ids.append(found)
+            sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids with the end ids, ids per text, word hashes of all words, words per text."""
+        if len(self.parts) > _WORDS:
             self._forget()
-        parts = [self._parts(t) for t in texts]
-        sizes = [len(p) for p in parts]
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
-        if self.codes.new:
-            self._learn(self.codes.new)
-            self.codes.new = []
-        end = 0
-        for size in sizes:
-            mine = codes[end : end + size]
-            end += size
-            start, n = self.at[mine], self.at[mine + 1] - self.at[mine]
-            shift = np.repeat(start - (np.cumsum(n) - n), n)
-            ids = np.append(self.flat[shift + np.arange(len(shift))], np.uint32(END))
-            yield ids, *np.unique(self.hash[mine], return_counts=True)
+        parts = pc.ascii_split_whitespace(texts)
+        first = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        # below U+0100 lower case is one letter for one in every rule
+        plain = pc.match_substring_regex(coded.dictionary, r"^[\x{0}-\x{ff}]*$")
+        known = pc.if_else(plain, pc.utf8_lower(coded.dictionary), coded.dictionary).dictionary_encode()
+        code = pc.index_in(known.dictionary, self.parts)
+        new = known.dictionary.filter(pc.is_null(code))
+        if len(new):
+            code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            code[code < 0] = len(self.parts) + np.arange(len(new))
+            self._learn(new)
+        else:
+            code = code.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.seen[code] += 1
+        mine = code[known.indices.to_numpy()][coded.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)
+        size = self.at[mine + 1] - self.at[mine]
+        before = np.append(0, np.cumsum(size))[first]
+        ids = np.insert(self.flat[_spans(self.at[mine], size)], before[1:], END).astype(np.uint32)
+        named = size > 0  # an empty part is at either end of a text
+        words = np.append(0, np.cumsum(named))[first]
+        return ids, np.diff(before) + 1, self.hash[mine[named]], np.diff(words)
+
+
+def _hashed(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of each run of ids."""
+    out = np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        nth = np.arange(len(ids), dtype=np.uint64) - np.repeat(first, size).astype(np.uint64)
+        x = (ids.astype(np.uint64) + np.uint64(1)) * (nth * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[some] = np.add.reduceat(x ^ (x >> np.uint64(32)), first[some])
+        out *= np.uint64(0x94D049BB133111EB)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start, start+1, .. of every span."""
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
 @functools.lru_cache(maxsize=1)
@@ -199,34 +244,66 @@ def _tokens(path: str) -> _Tokens:
     return _Tokens(path)
 
 
-_TOKENISED = "id bigint, tokens bigint, prefixes binary, words binary, counts binary, sketch bigint, sketch2 bigint, salt bigint, n_words bigint"
+def _counted(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text, their counts, and how many of them a text has."""
+    keys = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | words)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    return keys.astype(np.uint32), counts, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(n))
+
+
+def _two_least(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lexical sketch of each text: the two least scrambled hashes of its distinct words, padded by 2^32."""
+    pad = np.int64(1 << 32)
+    out = np.full((2, len(n)), pad)
+    some = np.flatnonzero(n)
+    if len(some):
+        x = _scrambled(words).astype(np.int64)
+        first = (np.cumsum(n) - n)[some]
+        out[0, some] = np.minimum.reduceat(x, first)
+        x[x == np.repeat(out[0], n)] = pad
+        out[1, some] = np.minimum.reduceat(x, first)
+    return out[0], out[1]
+
+
+def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One binary value of ``n`` numbers a row."""
+    at = np.append(0, np.cumsum(n) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _chunks(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``size`` bytes of a column, one row at least."""
+    nbytes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(nbytes) - nbytes) // size
+    at = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), batch.num_rows).tolist() if batch.num_rows else []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+_TOKENISED = "id bigint, tokens bigint, crcs binary, words binary, counts binary, sketch bigint, sketch2 bigint, spread bigint, n_words bigint"
 
 
 def _tokenised(path: str):
-    names = ["id", "tokens", "prefixes", "words", "counts", "sketch", "sketch2", "salt", "n_words"]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["id", "tokens", "crcs", "words", "counts", "sketch", "sketch2", "spread", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokens(path)
-        seen: dict[tuple[int, int], int] = {}
+        row = np.int64(TaskContext.get().partitionId()) << 40
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 200):
-                out: list[list] = [[] for _ in kinds]
-                for tokens, words, counts in model.of([t.as_py() or "" for t in texts[at : at + 200]]):
-                    raw = memoryview(tokens.astype("<u4").tobytes())
-                    crc, prefixes = 0, [0]
-                    for a in range(0, len(raw), 4 * STEP):
-                        crc = zlib.crc32(raw[a : a + 4 * STEP], crc)
-                        prefixes.append(crc)
-                    least = _two_least(words)
-                    seen[least] = nth = seen.get(least, -1) + 1
-                    counts = np.minimum(counts, 65535)
-                    values = (len(tokens), np.array(prefixes, "<u4").tobytes(), words.astype("<u4").tobytes(), counts.astype("<u2").tobytes(), *least, nth // SALT_ROWS, int(counts.sum()))
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                more = [c[at : at + 200] for c in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 200], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *more], [*names, *batch.schema.names[2:]])
+            for part in _chunks(batch, 1, _CHUNK):
+                ids, size, words, n_words = model.of(pc.fill_null(part.column(1), ""))
+                crcs, steps = _step_crcs(ids, np.cumsum(size) - size, size)
+                words, counts, n = _counted(words, n_words)
+                sketch, sketch2 = _two_least(words, n)
+                spread = row + np.arange(part.num_rows)
+                row += part.num_rows
+                # counts over 255 need the wider form; a row's length tells which it is
+                narrow = not len(counts) or counts.max() < 256
+                arrays = [pa.array(size), _binary(crcs, steps), _binary(words, n), _binary(counts.astype(np.uint8 if narrow else np.uint32), n)]
+                arrays += [pa.array(x.astype(np.int64)) for x in (sketch, sketch2, spread, n_words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays, *part.columns[2:]], [*names, *batch.schema.names[2:]])
 
     return run
 
@@ -242,27 +319,45 @@ _DOCS, _LENGTH = -1, -2
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(task, word, n): documents of a packing task that hold a word."""
-    keys, n, docs, length, task = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0, 0, None
+    keys, n, docs, length, task, held, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0, 0, None, [], 0
+
+    def merged():
+        found, more = np.unique(np.concatenate(held), return_counts=True)
+        both, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([n, more]), len(both)).astype(np.int64)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         task = batch.column(0)[0].as_py()
         docs += batch.num_rows
-        length += sum(batch.column(2).to_pylist())
-        found, more = np.unique(np.concatenate([np.frombuffer(w, "<u4") for w in batch.column(1).to_pylist()]), return_counts=True)
-        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, more]), len(keys)).astype(np.int64)
+        length += pc.sum(batch.column(2)).as_py()
+        held.append(_numbers(batch.column(1)))
+        size += len(held[-1])
+        if size > 2_000_000:
+            keys, n = merged()
+            held, size = [], 0
     if task is not None:
+        if held:
+            keys, n = merged()
         keys, n = np.append(keys.astype(np.int64), [_DOCS, _LENGTH]), np.append(n, [docs, length])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), task, np.int32)), pa.array(keys), pa.array(n)], ["task", "word", "n"])
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """All 32-bit numbers of a binary column."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u4") if at[-1] > at[0] else np.zeros(0, np.uint32)
+
+
 def corpus_statistics(ready: DataFrame, tasks: int) -> DataFrame:
-    """``(task, word, df)``: for every task, the corpus-wide frequency of each of its words that is in two documents or more."""
-    words = ready.select("task", "words", "n_words").repartitionById(tasks, "task").mapInArrow(_frequencies, "task int, word bigint, n bigint")
-    # at most one row of a word for each task
-    total = words.withColumn("df", F.sum("n").over(Window.partitionBy("word")))
-    return total.where("df > 1 or word < 0").select("task", "word", "df")
+    """``(task, word, df)``: for every task, the corpus-wide frequency of each word that several of its documents hold.
+
+    A word of one document only finds no neighbour for it.
+    """
+    words = checkpointed(ready.select("task", "words", "n_words").repartitionById(tasks, "task").mapInArrow(_frequencies, "task int, word bigint, n bigint"))
+    total = words.groupBy("word").agg(F.sum("n").alias("df"))
+    return join_on_hidden_key(words.where("n > 1 or word < 0").select("task", "word"), total, "word", "inner").select("task", "word", "df")
 
 
 class _Corpus:
@@ -294,42 +389,61 @@ class _Shard:
         n = len(words)
         size = np.array([len(w) for w in words], np.int64)
         terms, codes = np.unique(np.concatenate(words) if n else np.zeros(0, np.uint32), return_inverse=True)
-        docs = np.repeat(np.arange(n), size)
-        tf = np.concatenate(counts).astype(np.float64) if n else np.zeros(0)
+        docs = np.repeat(np.arange(n, dtype=np.int32), size)
+        tf = np.concatenate(counts).astype(np.float32) if n else np.zeros(0, np.float32)
         length = np.bincount(docs, tf, n)
         here = np.bincount(codes, minlength=len(terms))
         if corpus is None:
             corpus = _Corpus(terms, here, n, length.mean() if n else 1.0)
         df = corpus.frequencies(terms)
         idf = np.log1p((corpus.docs - df + 0.5) / (df + 0.5))
-        weight = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / max(1.0, corpus.mean)))
+        short = (K1 * (1 - B + B * length / max(1.0, corpus.mean))).astype(np.float32)
+        weight = idf.astype(np.float32)[codes] * tf * np.float32(K1 + 1) / (tf + short[docs])
+        # a word that no other document here holds finds nobody
+        common = here * _COMMON >= max(n, 2 * _COMMON)
+        rank = np.cumsum(common) - 1
+        mine = common[codes]
+        self.matrix = np.zeros((n, int(common.sum())), np.float32)
+        self.matrix[docs[mine], rank[codes[mine]]] = weight[mine]
+        listed = (here > 1) & ~common
+        rank = np.cumsum(listed) - 1
+        mine = np.flatnonzero(listed[codes])
+        codes, docs, weight = rank[codes[mine]], docs[mine], weight[mine]
         order = np.argsort(codes, kind="stable")
-        self.docs, self.weight = docs[order].astype(np.int32), weight[order].astype(np.float32)
-        self.at = np.concatenate([[0], np.cumsum(here)])
-        # all words of a document are its query, but one that no other document here holds finds nobody
-        first = np.concatenate([[0], np.cumsum(size)])
-        useful = here[codes] > 1
-        self.queries = [codes[a:b][useful[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.n, self.live, self.calls = n, n, 0
-
-    def _forget_used(self, unused: np.ndarray) -> None:
-        """Postings of used documents go once they are half of all."""
-        self.calls += 1
-        if self.calls % 16 == 0 and 2 * (left := int(unused.sum())) < self.live:
-            keep = unused[self.docs]
-            self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
-            self.docs, self.weight, self.live = self.docs[keep], self.weight[keep], left
-
-    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share words with ``doc``, best first."""
-        self._forget_used(unused)
-        query = self.queries[doc]
-        if not len(query):
-            return np.zeros(0, np.int64)
-        spans = [slice(a, b) for a, b in zip(self.at[query].tolist(), self.at[query + 1].tolist(), strict=True)]
-        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        self.docs, self.weight = docs[order], weight[order]
+        self.at = np.append(0, np.cumsum(np.bincount(codes, minlength=int(listed.sum()))))
+        self.query, self.query_at = codes, np.append(0, np.cumsum(np.bincount(docs, minlength=n)))
+        self.n = n
+        self.seeds, self.products = np.zeros(0, np.int64), None
+
+    def scores(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 of every document for all words of ``doc``."""
+        at = np.searchsorted(self.seeds, doc)
+        if at == len(self.seeds) or self.seeds[at] != doc:
+            # the next documents that may become seeds are scored along with it
+            later = doc + 1 + np.flatnonzero(unused[doc + 1 :])[: _SEEDS - 1]
+            self.seeds, at = np.append(doc, later), 0
+            self.products = (self.matrix[self.seeds] > 0).astype(np.float32) @ self.matrix.T
+        out = self.products[at]
+        query = self.query[self.query_at[doc] : self.query_at[doc + 1]]
+        if len(query):
+            spans = _spans(self.at[query], self.at[query + 1] - self.at[query])
+            out = out + np.bincount(self.docs[spans], self.weight[spans], self.n)
+        return out
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share words with ``doc``, best first, ties in order."""
+        scores = self.scores(doc, unused)
         hit = np.flatnonzero((scores > 0) & unused)
-        return hit[np.argsort(-scores[hit], kind="stable")]
+        score = -scores[hit]
+        if len(hit) > 4 * _SEEDS:
+            # few are taken, so sort only the best at first
+            bound = np.partition(score, _SEEDS)[_SEEDS]
+            best = np.flatnonzero(score <= bound)
+            yield from hit[best[np.argsort(score[best], kind="stable")]].tolist()
+            left = score > bound
+            hit, score = hit[left], score[left]
+        yield from hit[np.argsort(score, kind="stable")].tolist()
 
 
 class _Packer:
@@ -346,8 +460,8 @@ class _Packer:
     def pack(self, tokens: np.ndarray, shard: _Shard) -> None:
         """Pack a shard's documents; a window that is not full stays open for the next."""
         start = tokens // self.length * self.length
-        for doc in np.flatnonzero(start):
-            self.pieces += [(int(doc), a, self.length, self._new(), 0) for a in range(0, int(start[doc]), self.length)]
+        for doc in np.flatnonzero(start).tolist():
+            self.pieces += [(doc, a, self.length, self._new(), 0) for a in range(0, int(start[doc]), self.length)]
         rest = tokens - start
         unused = rest > 0
         for seed in range(shard.n):
@@ -359,8 +473,8 @@ class _Packer:
 
     def _fillers(self, seed: int, shard: _Shard, unused: np.ndarray) -> Iterator[int]:
         yield seed
-        for found in (shard.neighbours(seed, unused), seed + np.flatnonzero(unused[seed:])):
-            for doc in found.tolist():
+        for found in (shard.neighbours(seed, unused), (seed + np.flatnonzero(unused[seed:])).tolist()):
+            for doc in found:
                 if unused[doc]:
                     yield doc
 
@@ -381,11 +495,9 @@ class _Packer:
 
 def _packed(length: int, range_slots: int | None = None):
     """A task's statistics (rows with a word) come before its documents; with ``range_slots``, these have slots."""
-    shifts = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal shifts
-        shifts = _crc_shifts(length) if shifts is None else shifts
+        shifts = _crc_shifts(length)
         task = np.int64(TaskContext.get().partitionId()) << 40
         packer = _Packer(length)
         held, postings, now = [], 0, None
@@ -393,12 +505,14 @@ def _packed(length: int, range_slots: int | None = None):
 
         def shard_out() -> pa.RecordBatch:
             tokens = np.array([r[1] for r in held], np.int64)
+            words = [np.frombuffer(r[3], "<u4") for r in held]
+            counts = [np.frombuffer(r[4], np.uint8 if len(r[4]) == len(w) else "<u4") for r, w in zip(held, words, strict=True)]
             packer.pieces = []
-            packer.pack(tokens, _Shard([r[3] for r in held], [r[4] for r in held], corpus))
+            packer.pack(tokens, _Shard(words, counts, corpus))
             doc, start, n, sequence, offset = (np.array(c, np.int64) for c in zip(*packer.pieces, strict=True))
-            prefix = [r[2] for r in held]
-            at = np.array([[prefix[d][s // STEP], prefix[d][-(-(s + k) // STEP)]] for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)], np.uint64)
-            crc = _piece_crcs(at[:, 0], at[:, 1], n, shifts)
+            crcs = [np.frombuffer(r[2], "<u4") for r in held]
+            at = np.append(0, np.cumsum([len(c) for c in crcs]))
+            crc = _piece_crcs(np.concatenate(crcs), at, tokens, doc, start, n, shifts)
             ids = pa.array([held[d][0] for d in doc.tolist()], pa.int64())
             return pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(n), pa.array(crc.astype(np.int64)), pa.array(tokens[doc]), pa.array(task + sequence), pa.array(offset)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -411,17 +525,17 @@ def _packed(length: int, range_slots: int | None = None):
                 continue
             if corpus is None:
                 corpus = _Corpus.listed(*(np.concatenate(c) for c in zip(*listed, strict=True)))
+                listed = []
             slots = batch.column("slot").to_pylist() if range_slots else [0] * batch.num_rows
-            for *row, slot in zip(*(batch.column(c).to_pylist() for c in ("id", "tokens", "prefixes", "words", "counts")), slots, strict=True):
+            for *row, slot in zip(*(batch.column(c).to_pylist() for c in ("id", "tokens", "crcs", "words", "counts")), slots, strict=True):
                 if range_slots and slot // range_slots != now:
                     if held:
                         yield shard_out()
                         held, postings = [], 0
                     now = slot // range_slots
                     packer, task = _Packer(length), np.int64(now) << 40
-                words = np.frombuffer(row[3], "<u4")
-                held.append((row[0], row[1], np.frombuffer(row[2], "<u4"), words, np.frombuffer(row[4], "<u2")))
-                postings += len(words)
+                held.append(row)
+                postings += len(row[3]) // 4
                 if len(held) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
                     yield shard_out()
                     held, postings = [], 0
@@ -431,6 +545,18 @@ def _packed(length: int, range_slots: int | None = None):
     return run
 
 
+def _with_salt(ready: DataFrame) -> DataFrame:
+    """``salt`` deals the rows of a sketch that more than ``HOT_ROWS`` share over places of about so many."""
+    sketch = F.struct("sketch", "sketch2")
+    hot = ready.groupBy(sketch.alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = checkpointed(hot)
+    few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
+    marked = ready.withColumn("_hot", sketch)
+    marked = marked.join(F.broadcast(hot), "_hot", "left") if few else join_on_hidden_key(marked, hot, "_hot")
+    places = F.ceil(F.col("_n") / HOT_ROWS)
+    return marked.withColumn("salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("spread"), places))).drop("_hot", "_n")
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, slot_cols: tuple[str, str] | None = None) -> DataFrame:
     """``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` per piece.
 
@@ -457,8 +583,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         tasks = (ready.agg(F.max("slot")).first()[0] or 0) // (RANGE_SLOTS * TASK_RANGES) + 1
         task, order = F.floor(F.col("slot") / (RANGE_SLOTS * TASK_RANGES)), ("slot", "place", "id")
     else:
-        tasks = max(1, -(-rows.count() // TASK_DOCS))
-        task, order = F.pmod(F.xxhash64("sketch", "sketch2", "salt"), F.lit(tasks)), ("sketch", "sketch2", "id")
+        docs, size = ready.agg(F.count("*"), F.sum(F.octet_length("crcs") + F.octet_length("words") + F.octet_length("counts"))).first()
+        tasks = max(1, -(-docs // TASK_DOCS), -(-(size or 0) // TASK_BYTES))
+        ready = _with_salt(ready)
+        task, order = F.pmod(F.xxhash64("sketch", "sketch2", "salt"), F.lit(tasks)), ("sketch", "sketch2", "salt", "id")
     ready = ready.withColumn("task", task.cast("int"))
     dealt = ready.unionByName(corpus_statistics(ready, tasks), allowMissingColumns=True).repartitionById(tasks, "task")
     dealt = dealt.sortWithinPartitions(F.col("word").isNull(), *order)

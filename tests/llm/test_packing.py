@@ -65,7 +65,7 @@ def test_neighbours_share_rare_words():
     shard = packing._Shard(words, [np.ones(3, np.uint16)] * 5)
     unused = np.ones(5, bool)
     unused[0] = False
-    assert shard.neighbours(0, unused)[0] == 2
+    assert next(shard.neighbours(0, unused)) == 2
     packer = packing._Packer(2048)
     packer.pack(np.array([1000, 1000, 1048, 1048, 100]), shard)
     windows = {}
@@ -93,10 +93,65 @@ def test_statistics_are_of_the_whole_corpus_and_queries_whole(spark):
     words = [np.array(w, np.uint32) for w in ([1, 2], [1, 3], [2, 4])]
     known = packing._Corpus(np.array([1, 2], np.uint32), np.array([900, 2]), 1000, 2.0)
     unused = np.array([False, True, True])
-    assert packing._Shard(words, [np.ones(2, np.uint16)] * 3, known).neighbours(0, unused).tolist() == [2, 1]
+    assert list(packing._Shard(words, [np.ones(2, np.uint16)] * 3, known).neighbours(0, unused)) == [2, 1]
     known.df = known.df[::-1]
-    assert packing._Shard(words, [np.ones(2, np.uint16)] * 3, known).neighbours(0, unused).tolist() == [1, 2]
+    assert list(packing._Shard(words, [np.ones(2, np.uint16)] * 3, known).neighbours(0, unused)) == [1, 2]
     # thirty rarer words of the seed do not hide a neighbour that shares only the commonest one
     words = [np.arange(31, dtype=np.uint32), np.array([0, 50], np.uint32), *(np.array([0, k], np.uint32) for k in range(1, 31))]
     shard = packing._Shard(words, [np.ones(len(w), np.uint16) for w in words])
     assert 1 in shard.neighbours(0, np.arange(len(words)) > 0)
+
+
+def plain_bm25(words, counts, seed):
+    n, lengths = len(words), [sum(c.tolist()) for c in counts]
+    mean, out = sum(lengths) / n, [0.0] * n
+    for w in words[seed].tolist():
+        df = sum(w in x.tolist() for x in words)
+        if df == 1:
+            continue
+        for d in range(n):
+            for x, tf in zip(words[d].tolist(), counts[d].tolist(), strict=True):
+                if x == w:
+                    out[d] += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[d] / mean))
+    return out
+
+
+def test_scores_are_plain_bm25():
+    rng = np.random.default_rng(2)
+    words = [np.unique((rng.zipf(1.4, 40) % 200).astype(np.uint32)) for _ in range(120)]
+    counts = [rng.integers(1, 300, len(w)).astype(np.uint32) for w in words]
+    shard = packing._Shard(words, counts)
+    assert 0 < shard.matrix.shape[1] and len(shard.docs)  # both ways of scoring are met
+    unused = rng.random(120) < 0.7
+    for seed in (0, 3, 90, 119):
+        want = plain_bm25(words, counts, seed)
+        assert np.allclose(shard.scores(seed, unused), want, rtol=1e-4)
+        got = list(shard.neighbours(seed, unused))
+        assert sorted(got) == [d for d in range(120) if unused[d] and want[d] > 0]
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got[:-1], got[1:], strict=True))
+
+
+def test_hot_sketches_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HOT_ROWS", 10)
+    rows = [(i, 1, 1) for i in range(95)] + [(100 + i, 2, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "spread bigint, sketch bigint, sketch2 bigint")
+    for bound in (100, 0):
+        monkeypatch.setattr(packing, "HOT_BROADCAST", bound)
+        got = packing._with_salt(df).collect()
+        assert len(got) == 100 and {r.salt for r in got if r.sketch == 2} == {0}
+        assert len({r.salt for r in got if r.sketch == 1}) > 5 and max(r.salt for r in got) < 10
+
+
+def test_counts_over_255_and_remembered_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "_WORDS", 50)
+    tokens = packing._Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    for seed in range(4):
+        some = [t or "" for _, t in texts(seed, 20)]
+        ids, size, _, n = tokens.of(pa.array(some))
+        at = np.append(0, np.cumsum(size))
+        for t, a, b in zip(some, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == encode(t)
+    words, counts, n = packing._counted(np.array([5] * 300 + [7], np.uint32), np.array([300, 0, 1]))
+    assert words.tolist() == [5, 7] and counts.tolist() == [300, 1] and n.tolist() == [1, 0, 1]
