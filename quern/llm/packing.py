@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import checkpointed, join_on_hidden_key, only, table
+from quern.llm.word_bpe import Merges
 
 LENGTH, STEP, END = 2048, 16, 1
 SHARD_DOCS, SHARD_POSTINGS = 4000, 2_000_000
@@ -131,6 +132,7 @@ class _Tokens:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        self.merges = Merges.of(self.model.to_str())
         self.units = Tokenizer(self.model.model)
         self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab(with_added_tokens=False)
@@ -178,6 +180,9 @@ class _Tokens:
 
     def _encoded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, one after the other, and their number."""
+        # a matrix has the height of its longest word, so a very long one goes to the library
+        if self.merges is not None and len(units) and pc.max(pc.binary_length(units)).as_py() <= 200:
+            return self.merges.encode(units)
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         some = units.to_numpy(zero_copy_only=False).tolist()
         for at in range(0, len(some), 1000):

@@ -155,3 +155,21 @@ def test_counts_over_255_and_remembered_parts(monkeypatch):
             assert ids[a:b].tolist() == encode(t)
     words, counts, n = packing._counted(np.array([5] * 300 + [7], np.uint32), np.array([300, 0, 1]))
     assert words.tolist() == [5, 7] and counts.tolist() == [300, 1] and n.tolist() == [1, 0, 1]
+
+
+def test_merges_are_those_of_the_library():
+    import pyarrow as pa
+
+    from quern.llm.word_bpe import Merges
+
+    rng = random.Random(8)
+    some = ["a", "é", "th", "the", "ß" * 40] + ["".join(rng.choice("etaoinéßthrwüz") for _ in range(rng.randrange(1, 30))) for _ in range(6000)]
+    flat, size = Merges.of(model().to_str()).encode(pa.array(["x", *some]).slice(1))
+    at = np.append(0, np.cumsum(size))
+    for word, a, b in zip(some, at[:-1], at[1:], strict=True):
+        assert flat[a:b].tolist() == encode(word)[:-1]
+    tokens = packing._Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    long = pa.array(["the", "a" * 300, "thé"])  # one word over the limit: the library's way
+    ids, sizes = tokens._encoded(long)
+    assert ids.tolist() == [i for w in long.to_pylist() for i in encode(w)[:-1]] and sizes.sum() == len(ids)
+    assert Merges.of('{"model": {"type": "Unigram"}}') is None
