@@ -1,16 +1,19 @@
-"""Approximate nearest neighbours on shifted Hilbert curves.
+"""Nearest neighbours on shifted Hilbert curves, completed by block bounds.
 
 Vectors are projected (a random orthogonal map for each curve), shifted, and numbered
 along a Hilbert curve. Each curve's keys are range-partitioned and sorted by Spark; a
-vector's rank along the curve names its block of ``BLOCK`` vectors. A query meets its
-own block and the neighbouring blocks on every curve, takes the exact distance to all
-vectors there, and the curves' lists merge and rerank.
+vector's rank along its curve names its block of ``BLOCK`` vectors. A query meets its
+own block and the two beside it on every curve, takes the exact distance to all vectors
+there, and the curves' lists merge and rerank. That work is the same at every size.
+
+What the windows find bounds how far a neighbour may be. Blocks of the first curve that
+lie farther (by their centre and radius) hold none; a query goes on to the others, in
+blocks of queries against blocks of vectors. With structure few blocks are left. Without
+any (as on a sphere filled evenly) all are, the search is one whole scan, and only so does
+it keep its recall. Either way the result is exact.
 
 Equal vectors travel once, with their smallest ids, so a vector that a third of all
-rows share costs no more than any other. The number of neighbouring blocks grows with
-the table (a fixed share of each curve is searched), because on vectors without
-structure no fixed window keeps its recall; the blocks themselves do not grow, so
-neither does a task's memory.
+rows share costs no more than any other.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpointed, join_on_hidden_key, only, table
 
-CURVES, DIMS, BITS = 18, 16, 3
+CURVES, DIMS, BITS = 4, 16, 3
 BLOCK = 1000
-#: Vectors for each neighbouring block on either side: 1 block up to this many, then more.
-PER_SIDE = 50_000
+#: Blocks of the first curve, and queries, that one task of the completion holds.
+SUPER, GROUP = 32, 16_384
 #: Rows whose projections set the curves' ranges.
 FIT_ROWS = 5000
 
@@ -127,42 +130,167 @@ def _on_curves(curves: _Curves):
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
+    """Rows and queries before each row on its curve, in this partition."""
+    part, before = TaskContext.get().partitionId(), np.zeros((2, 1), np.int64)
     for batch in batches:
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64)), *batch.columns[2:]], ["part", "nth", *batch.schema.names[2:]])
-        at += n
+        curve, asks = batch.column("curve").to_numpy(), batch.column("q").to_numpy()
+        place = np.zeros((2, n), np.int64)
+        for c in np.unique(curve).tolist():
+            if c >= before.shape[1]:
+                before = np.pad(before, ((0, 0), (0, c + 1 - before.shape[1])))
+            mine = curve == c
+            place[0, mine] = before[0, c] + np.arange(mine.sum())
+            place[1, mine] = before[1, c] + np.cumsum(asks[mine]) - asks[mine]
+            before[:, c] += (mine.sum(), asks[mine].sum())
+        rest = [batch.column(c) for c in ("curve", "k1", "k2", "q", "vec")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(place[0]), pa.array(place[1]), *rest], ["part", "nth", "qth", "curve", "k1", "k2", "q", "vec"])
+
+
+def _on_blocks(along: DataFrame, block: int) -> DataFrame:
+    """``block`` of every row on its curve and ``grp`` of every query."""
+    # one row for each partition of the range exchange and each curve
+    parts = along.groupBy("curve", "part").agg(F.count("*").alias("n"), F.sum("q").alias("nq")).orderBy("curve", "part").collect()
+    starts, total, last = [], [0, 0], None
+    for r in parts:
+        total = total if r.curve == last else [0, 0]
+        last = r.curve
+        starts.append((r.curve, r.part, *total))
+        total = [total[0] + r.n, total[1] + r.nq]
+    starts = along.sparkSession.createDataFrame(starts, "curve int, part int, first bigint, firstq bigint")
+    placed = along.join(F.broadcast(starts), ["curve", "part"])
+    block_of, grp = F.floor((F.col("first") + F.col("nth")) / block), F.floor((F.col("firstq") + F.col("qth")) / GROUP)
+    return placed.select("curve", block_of.alias("block"), grp.alias("grp"), "k1", "k2", "q", "vec")
+
+
+_HITS = "q1 bigint, q2 bigint, k1 bigint, k2 bigint, score double"
+
+
+def _nearest(cv: np.ndarray, x: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and distances of the k nearest within ``bound``, and of all that tie with the last."""
+    d = np.sqrt(((cv - x) ** 2).sum(axis=1))
+    most = min(bound, np.partition(d, k - 1)[k - 1]) if len(d) > k else bound
+    near = np.flatnonzero(d <= most)
+    return near, d[near]
+
+
+def _hits(found: list[tuple]) -> pa.Table:
+    """One table of (query key, vector keys, distances) lists."""
+    q1, q2, c1, c2, d = ([], [], [], [], [])
+    for a, b, e, f, g in found:
+        q1.append(np.full(len(g), a))
+        q2.append(np.full(len(g), b))
+        c1.append(e)
+        c2.append(f)
+        d.append(g)
+    keys = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (q1, q2, c1, c2)]
+    return pa.table([*(pa.array(c) for c in keys), pa.array(np.concatenate(d) if d else np.zeros(0))], ["q1", "q2", "k1", "k2", "score"])
 
 
 def _searched(k: int):
+    """All queries of a window against its block."""
+
     def run(block: pa.Table) -> pa.Table:
         asks = block.column("asks").to_numpy() == 1
         k1, k2 = block.column("k1").to_numpy(), block.column("k2").to_numpy()
+        if asks.all() or not asks.any():
+            return _hits([])
         v = _stacked(block.column("vec").combine_chunks())
         c1, c2, cv = k1[~asks], k2[~asks], v[~asks]
-        out: list[list] = [[] for _ in range(5)]
-        if len(cv):
-            for a, b, x in zip(k1[asks], k2[asks], v[asks], strict=True):
-                d = np.sqrt(((cv - x) ** 2).sum(axis=1))
-                # all that tie with the k-th are kept; ids decide between them later
-                near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                for column, part in zip(out, (np.full(len(near), a), np.full(len(near), b), c1[near], c2[near], d[near]), strict=True):
-                    column.append(part)
-        parts = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(p.astype(np.int64)) for p in parts[:4]] + [pa.array(parts[4].astype(np.float64))], ["q1", "q2", "k1", "k2", "score"])
+        found = []
+        for a, b, x in zip(k1[asks].tolist(), k2[asks].tolist(), v[asks], strict=True):
+            near, d = _nearest(cv, x, k, np.inf)
+            found.append((a, b, c1[near], c2[near], d))
+        return _hits(found)
+
+    return run
+
+
+def _ball(rows: pa.Table) -> tuple[np.ndarray, float]:
+    v = _stacked(rows.column("vec").combine_chunks())
+    centre = v.mean(axis=0)
+    return centre, float(np.sqrt(((v - centre) ** 2).sum(axis=1).max()))
+
+
+def _summary(key: str, names: list[str]):
+    """Centre, radius and greatest bound of the vectors of a group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        centre, radius = _ball(rows)
+        bound = float(np.max(rows.column("bound").to_numpy())) if "bound" in rows.column_names else 0.0
+        return pa.table([rows.column(key).slice(0, 1).combine_chunks(), pa.array([centre.astype("<f8").tobytes()]), pa.array([radius + bound])], names)
+
+    return run
+
+
+def _may_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group of queries and a run of blocks that are near enough to matter."""
+    for batch in batches:
+        if batch.num_rows:
+            gap = np.sqrt(((_stacked(batch.column("qcentre")) - _stacked(batch.column("centre"))) ** 2).sum(axis=1))
+            near = gap <= (batch.column("qreach").to_numpy() + batch.column("reach").to_numpy()) * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("grp").filter(pa.array(near)), batch.column("super").filter(pa.array(near))], ["grp", "super"])
+
+
+def _completed(k: int):
+    """Queries of a group against a run of blocks, but for those their windows held."""
+
+    def run(pair: pa.Table) -> pa.Table:
+        asks = pair.column("asks").to_numpy() == 1
+        if asks.all() or not asks.any():
+            return _hits([])
+        v = _stacked(pair.column("vec").combine_chunks())
+        k1, k2, block, bound = (pair.column(c).to_numpy() for c in ("k1", "k2", "block", "bound"))
+        q, q1, q2, qblock, bound = v[asks], k1[asks], k2[asks], block[asks], bound[asks]
+        found = []
+        for b in np.unique(block[~asks]).tolist():
+            mine = ~asks & (block == b)
+            cv, c1, c2 = v[mine], k1[mine], k2[mine]
+            centre = cv.mean(axis=0)
+            radius = np.sqrt(((cv - centre) ** 2).sum(axis=1).max())
+            gap = np.sqrt(((q - centre) ** 2).sum(axis=1))
+            rows = np.flatnonzero((np.abs(qblock - b) > 1) & (gap <= (radius + bound) * (1 + 1e-9)))
+            for at in range(0, len(rows), 1024):
+                some = rows[at : at + 1024]
+                # the product only rules out; distances that count are taken from the vectors
+                norms = (cv**2).sum(axis=1)[None, :] + (q[some] ** 2).sum(axis=1)[:, None]
+                rough = norms - 2 * (q[some] @ cv.T)
+                maybe = rough <= bound[some, None] ** 2 + 1e-9 * norms
+                for i, row in zip(some.tolist(), maybe, strict=True):
+                    if row.any():
+                        at_row = np.flatnonzero(row)
+                        near, d = _nearest(cv[at_row], q[i], k, float(bound[i]))
+                        found.append((int(q1[i]), int(q2[i]), c1[at_row[near]], c2[at_row[near]], d))
+        return _hits(found)
 
     return run
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest vectors found.
+def _complete(first: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Hits within each query's ``bound`` outside the blocks that its window on the first curve held."""
+    first = first.select(F.floor(F.col("block") / SUPER).alias("super"), "block", "k1", "k2", "vec")
+    supers = first.select("super", "vec").groupBy("super").applyInArrow(_summary("super", ["super", "centre", "reach"]), "super bigint, centre binary, reach double")
+    groups = queries.select("grp", "vec", "bound").groupBy("grp").applyInArrow(_summary("grp", ["grp", "qcentre", "qreach"]), "grp bigint, qcentre binary, qreach double")
+    supers = checkpointed(supers)
+    n = supers.count()
+    pairs = groups.withColumn("super", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)).cast("bigint")))).join(supers, "super")
+    pairs = checkpointed(pairs.mapInArrow(_may_meet, "grp bigint, super bigint"))
+    asks = queries.join(pairs, "grp").select("grp", "super", "block", "k1", "k2", "vec", "bound", F.lit(1).alias("asks"))
+    held = first.join(pairs, "super").select("grp", "super", "block", "k1", "k2", "vec", F.lit(0.0).alias("bound"), F.lit(0).alias("asks"))
+    return held.unionByName(asks).groupBy("grp", "super").applyInArrow(_completed(k), _HITS)
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, curves: int = CURVES, block: int = BLOCK, windows_only: bool = False) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest vectors.
 
     Queries are the rows whose id is divisible by ``every``; every other row is a
     candidate. ``score`` is the Euclidean distance of the vectors in double
     precision; ties go to the smaller id. Rows with a null id, and vectors that are
     null, empty, zero, or hold null or non-finite components, take no part, nor do
     vectors of another than the most frequent dimension. Rows repeated with one id
-    and vector count once. An empty table gives an empty result.
+    and vector count once. An empty table gives an empty result; other columns are not
+    read, whatever their names. ``windows_only`` leaves out the completion: the result is
+    then approximate, at a cost for each query that does not grow with the table.
     """
     spark = df.sparkSession
     rows = only(df, id=id_col, v=vector_col).select(F.col("id").cast("bigint").alias("id"), "v")
@@ -182,19 +310,20 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     placed = distinct.select("k1", "k2", "q", "vec").mapInArrow(_on_curves(fitted), "curve int, key bigint, k1 bigint, k2 bigint, q int, vec binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     along = placed.repartitionByRange(parts, "curve", "key", "k1", "k2").sortWithinPartitions("curve", "key", "k1", "k2")
-    along = checkpointed(along.mapInArrow(_numbered, "part int, nth bigint, k1 bigint, k2 bigint, q int, vec binary"))
-    # one count for each partition of the range exchange
-    counts = {r.part: r["count"] for r in along.groupBy("part").count().collect()}
-    starts, total = {}, 0
-    for p in sorted(counts):
-        starts[p], total = total, total + counts[p]
-    start = F.element_at(F.create_map(*(F.lit(x) for p in starts.items() for x in p)), F.col("part")).cast("bigint")
-    located = along.withColumn("block", F.floor((start + F.col("nth")) / block)).select("block", "k1", "k2", "q", "vec")
-    reach = -(-n // PER_SIDE)
-    asks = located.where("q = 1").select(F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "k1", "k2", "vec", F.lit(1).alias("asks"))
-    both = located.select("block", "k1", "k2", "vec", F.lit(0).alias("asks")).unionByName(asks)
-    hits = both.groupBy("block").applyInArrow(_searched(k + 1), "q1 bigint, q2 bigint, k1 bigint, k2 bigint, score double").distinct()
-    hits = hits.join(ids, ["k1", "k2"]).select("q1", "q2", "id", "score")
+    along = checkpointed(along.mapInArrow(_numbered, "part int, nth bigint, qth bigint, curve int, k1 bigint, k2 bigint, q int, vec binary"))
+    located = _on_blocks(along, block)
+    asks = located.where("q = 1")
+    windows = asks.withColumn("block", F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)))
+    both = located.withColumn("asks", F.lit(0)).unionByName(windows.withColumn("asks", F.lit(1))).select("curve", "block", "k1", "k2", "vec", "asks")
+    seen = checkpointed(both.groupBy("curve", "block").applyInArrow(_searched(k + 1), _HITS).distinct())
+    if not windows_only:
+        nth = F.row_number().over(Window.partitionBy("q1", "q2").orderBy("score", "k1", "k2"))
+        bounds = seen.withColumn("_n", nth).where(F.col("_n") <= k + 1).groupBy(F.col("q1").alias("k1"), F.col("q2").alias("k2"))
+        # fewer than k + 1 found: the windows bound nothing
+        bounds = bounds.agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+        queries = checkpointed(asks.where("curve = 0").join(bounds, ["k1", "k2"]).select("grp", "block", "k1", "k2", "vec", "bound"))
+        seen = seen.union(_complete(located.where("curve = 0"), queries, k + 1)).distinct()
+    hits = seen.join(ids, ["k1", "k2"]).select("q1", "q2", "id", "score")
     best = Window.partitionBy("q1", "q2").orderBy("score", "id")
     hits = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
     lists = hits.groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("found")).select(F.struct(F.col("q1").alias("k1"), F.col("q2").alias("k2")).alias("vkey"), "found")

@@ -1,4 +1,5 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -41,16 +42,66 @@ def test_exact_when_blocks_cover_the_table(spark):
         assert [n for n, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
 
 
-def test_recall_with_small_blocks(spark):
+def clustered(n=3000):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 8)) * 2
-    rows = [(i, [float(x) for x in centres[i % 30] + rng.normal(size=8) * 0.5]) for i in range(3000)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    return [(i, [float(x) for x in centres[i % 30] + rng.normal(size=8) * 0.5]) for i in range(n)]
+
+
+def found_by(df, **options):
     got = {}
-    for r in hilbert_ann.nearest(df, every=50, k=10, block=60).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    want = brute(rows, 50, 10)
-    assert np.mean([len(got[q] & {i for _, i in found}) / 10 for q, found in want.items()]) >= 0.9
+    for r in hilbert_ann.nearest(df, **options).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    return {q: [i for _, i in sorted(found)] for q, found in got.items()}
+
+
+def recall(got, want):
+    return np.mean([len(set(got[q]) & {i for _, i in found}) / len(found) for q, found in want.items()])
+
+
+def test_windows_alone_find_most_where_there_is_structure(spark):
+    rows = clustered()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert recall(found_by(df, every=50, k=10, block=60, windows_only=True), brute(rows, 50, 10)) >= 0.9
+
+
+def test_completion_is_exact_with_and_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_ann, "SUPER", 3)
+    monkeypatch.setattr(hilbert_ann, "GROUP", 7)
+    rng = np.random.default_rng(9)
+    even = [(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(1500, 8)))]
+    for rows in (clustered(1500), even):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+        got = found_by(df, every=30, k=10, block=25, curves=2)
+        assert got == {q: [i for _, i in found] for q, found in brute(rows, 30, 10).items()}
+
+
+def test_far_blocks_are_not_visited(spark):
+    rows = clustered(600)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    far = hilbert_ann._completed(3)
+    import pyarrow as pa
+
+    def pair(bound):
+        v = [np.array(x, "<f8").tobytes() for _, x in rows[:40]] + [np.full(8, 90.0, "<f8").tobytes()]
+        n = len(v)
+        return pa.table({"asks": [0] * 40 + [1], "k1": list(range(n)), "k2": [0] * n, "block": [0] * 40 + [9], "bound": [0.0] * 40 + [bound], "vec": v})
+
+    assert far(pair(5.0)).num_rows == 0 and far(pair(float("inf"))).num_rows == 3 and df.count() == 600
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/embeddings.parquet"), reason="needs the test tables")
+def test_recall_at_the_shipped_settings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    ids = np.array([i for i, _ in rows])
+    v = np.array([x for _, x in rows], float)
+    want = {}
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort([ids, d]) if i != q][:10]
+        want[int(ids[q])] = [(float(d[i]), int(ids[i])) for i in order]
+    assert recall(found_by(df), want) == 1.0
 
 
 def test_empty_and_single(spark):
