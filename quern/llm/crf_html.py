@@ -23,13 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import only, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TAG_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-# Element groups of the HTML standard.
-_RAW = frozenset("script style noscript template svg iframe textarea select object canvas math".split())
+# Element groups of the HTML standard. In raw ones there is no markup; the
+# text of a page does not show in them.
+_RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
+#: Elements that begin a block; all others, unknown ones too, are inline.
+_BLOCK = _CLOSES_P | frozenset("html head title body p li dt dd tr td th thead tbody tfoot caption colgroup legend summary dialog select option optgroup button noscript template object canvas svg video audio picture center frameset search map base input link meta".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img math".split())
+_KNOWN = _BLOCK | _INLINE
 _SELF_CLOSING = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
 # What names in class, id and role attributes speak of.
 _TOPICS = {
@@ -73,87 +78,140 @@ class _Parser:
         if found is None:
             if len(self.steps) > _CACHE:
                 self.steps.clear()
-            found = self.steps[key] = above | {"t=" + tag} | _attribute_topics(attributes)
+            found = self.steps[key] = above | {"t=" + (tag if tag in _KNOWN else "other")} | _attribute_topics(attributes)
         return found
 
     def blocks(self, page: str) -> list[tuple[frozenset[str], str, str, float]]:
-        """(ancestor features, block tag, text, share of link text) of each leaf block."""
+        """(ancestor features, block tag, text, share of link text) of each leaf block, in linear time."""
         out = []
-        stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+        stack = _Stack()
         text: list[str] = []
-        links = linked = 0
+        linked = 0
 
         def flush():
             nonlocal linked
             if text:
                 joined = " ".join(entities.unescape("".join(text)).split())
                 if joined:
-                    tag = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-                    out.append((stack[-1][1] if stack[-1][0] not in _INLINE else _outer(stack), tag, joined, min(1.0, linked / len(joined))))
+                    tag, above = stack.block()
+                    out.append((above, tag, joined, min(1.0, linked / len(joined))))
                 text.clear()
             linked = 0
 
-        def close(depth: int):
-            nonlocal links
-            links -= sum(t == "a" for t, _ in stack[depth:])
-            del stack[depth:]
-
-        at, end = 0, len(page)
-        while at < end:
-            found = _TOKEN.search(page, at)
-            stop = found.start() if found else end
-            if stop > at:
-                text.append(page[at:stop])
-                if links > 0:
-                    linked += stop - at
-            if not found:
-                break
-            at = found.end()
-            slash, tag, attributes = found.groups()
-            if not tag:
-                continue
-            tag = tag.lower()
-            if slash:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+        for kind, value, attributes in _tokens(page):
+            if kind == "text":
+                text.append(value)
+                if stack.open_at("a"):
+                    linked += len(value)
+            elif kind == "end":
+                at = stack.open_at(value)
                 # an inline end tag does not close the blocks around it
-                if depth and (tag not in _INLINE or all(t in _INLINE for t, _ in stack[depth:])):
-                    if tag not in _INLINE:
+                if at and (value in _BLOCK or at > stack.last_block()):
+                    if value in _BLOCK:
                         flush()
-                    close(depth)
-                continue
-            if tag in _RAW:
-                if not attributes.endswith("/"):
-                    ending = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-                    at = ending.end() if ending else end
-                if tag not in ("svg", "math", "canvas"):
-                    text.append(" ")
-                continue
-            if tag in ("br", "wbr", "img"):
-                text.append(" " if tag == "br" else "")
-                continue
-            if tag not in _INLINE:
-                flush()
-                if tag in _CLOSES_P:
-                    depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in _INLINE), 0)
-                    if depth and stack[depth][0] == "p":
-                        close(depth)
-                if tag in _SELF_CLOSING:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == tag:
-                            close(i)
-                            break
-                        if stack[i][0] in _SELF_CLOSING[tag]:
-                            break
-            if tag not in _VOID and not attributes.endswith("/"):
-                stack.append((tag, self._below(stack[-1][1], tag, attributes)))
-                links += tag == "a"
+                    stack.close(at)
+            elif kind == "raw":
+                text.append(" ")
+            elif value in ("br", "wbr", "img"):
+                text.append(" " if value == "br" else "")
+            else:
+                if value in _BLOCK:
+                    flush()
+                    if value in _CLOSES_P and stack.block()[0] == "p":
+                        stack.close(stack.last_block())
+                    if value in _SELF_CLOSING and (at := stack.open_at(value)) > max(map(stack.open_at, _SELF_CLOSING[value])):
+                        stack.close(at)
+                if value not in _VOID and not attributes.endswith("/"):
+                    stack.push(value, self._below(stack.features(), value, attributes))
         flush()
         return out
 
 
-def _outer(stack) -> frozenset[str]:
-    """Features of the ancestors without inline elements around the whole block."""
-    return next((f for t, f in reversed(stack) if t not in _INLINE), frozenset())
+class _Stack:
+    """Open elements; where the last of each tag and the last block stand is known without a search."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, tag: str, features: frozenset[str]) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append((tag, features))
+
+    def close(self, at: int) -> None:
+        while len(self.tags) > at:
+            tag, _ = self.tags.pop()
+            self.at[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+    def open_at(self, tag: str) -> int:
+        """Place of the innermost open element of a tag; 0 if there is none."""
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+    def last_block(self) -> int:
+        return self.blocks[-1]
+
+    def block(self) -> tuple[str, frozenset[str]]:
+        return self.tags[self.blocks[-1]]
+
+    def features(self) -> frozenset[str]:
+        return self.tags[-1][1]
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start" or "end", tag, attributes) and ("raw", tag, ""), in order.
+
+    A quote that is never closed is an ordinary sign, a ``<`` that begins no tag is text, and
+    a raw element without an end hides the rest of the page, as the standard has it.
+    """
+    at, last = 0, page.rfind(">")
+    quotes = True  # until a quoted value would hide every tag end that is left
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            yield "text", page[at:], ""
+            return
+        if start > at:
+            yield "text", page[at:start], ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        name = _TAG.match(page, start + 1)
+        if not name:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+            else:
+                yield "text", "<", ""
+                at = start + 1
+            continue
+        end = name.end()
+        while True:
+            sign = _TAG_END.search(page, end)
+            if sign[0] == ">":
+                break
+            closing = page.find(sign[0], sign.end()) if quotes else -1
+            if closing > last:
+                quotes, closing = False, -1
+            end = (closing if closing >= 0 else sign.start()) + 1
+            if end > last:
+                # nothing closes this tag: it ends at the first sign that can
+                sign = re.compile(">").search(page, name.end())
+                break
+        tag, attributes, at = name[2].lower(), page[name.end() : sign.start()], sign.end()
+        if name[1]:
+            yield "end", tag, ""
+        elif tag in _RAW and not attributes.endswith("/"):
+            ending = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+            at = ending.end() if ending else len(page)
+            yield "raw", tag, ""
+        else:
+            yield "start", tag, attributes
 
 
 def _text_features(tag: str, text: str, linked: float) -> tuple[str, ...]:
@@ -352,7 +410,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     Character references are decoded, white space inside a block becomes one blank,
     blocks are joined by a line feed in page order. A null, empty or text-free page
-    gives an empty text. Repeated rows are all returned, null ids and urls kept.
+    gives an empty text. Repeated rows are all returned, null ids and urls kept. Pages are
+    read whole in linear time, however long or broken. An empty table gives an empty
+    result; other columns are not read, whatever their names.
     """
     field = field or default_field()
     weights = (field.weights, field.start, field.step)
