@@ -13,13 +13,19 @@ out would shuffle a row per word, so edges are compacted before they move:
 3. A bucket with several different pieces is where paths branch. Only there are
    the pieces' first copies opened into edges again: their coordinates join the
    documents, the edges are hashed from the words at these coordinates and the
-   first source of each edge is found. Hashes of 128 bits name pieces and edges.
+   first source of each edge is found.
 4. Joined on the document, the repeated pieces and edges unite into long spans.
+
+Every word has two hashes, by different functions and seeds. Minimizers and edges use
+the first; a piece or edge is a repeat only where both, taken over all its words at its
+source coordinates, agree. So words that collide in one of them do not pass
+for each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +40,8 @@ WINDOW, K = 20, 10
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 _TURNS = tuple(_U(pow(int(b), -1, 1 << 64)) for b in _BASES)
-_OCC = "m bigint, b bigint, id bigint, tie int, lo bigint"
-_FOUND = "id bigint, tie int, mark bigint"
+_OCC = "m bigint, b bigint, id bigint, tie bigint, lo bigint"
+_FOUND = "id bigint, tie bigint, mark bigint"
 #: Words whose hashes a worker remembers.
 _WORDS = 400_000
 #: Words hashed at once, and so the order of a task's extra memory.
@@ -43,11 +49,30 @@ _SPAN = 1 << 20
 
 
 class _WordHashes(dict):
+    """Numbers words; their two hashes lie in ``pairs``."""
+
+    def __init__(self):
+        super().__init__()
+        self.pairs = (array("Q"), array("Q"))
+
     def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        for hashes, value in zip(self.pairs, _two_hashes(word), strict=True):
+            hashes.append(value)
+        return found
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Both hashes of every word of a text, as two rows."""
         if len(self) > _WORDS:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 7)
-        return found
+            self.pairs = (array("Q"), array("Q"))
+        words = (text or b"").split()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.stack([np.frombuffer(h, _U)[at] for h in self.pairs]) if len(words) else np.zeros((2, 0), _U)
+
+
+def _two_hashes(word: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(word, 7), xxhash.xxh3_64_intdigest(word, 1009)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,35 +89,33 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class _Rolling:
-    """Hashes of any word interval of one document, by prefix sums modulo 2^64."""
+    """Hashes of any word interval of one document, by prefix sums modulo 2^64.
+
+    ``of(0, ..)`` is over the words' first hashes, ``of(1, ..)`` over their second ones.
+    """
 
     _tables: list = [np.zeros(0, _U)] * 4
 
     def __init__(self, words: np.ndarray):
-        n = len(words) + 1
+        n = words.shape[1] + 1
         if len(_Rolling._tables[0]) < n:
             size = max(n, 1 << 15)
             _Rolling._tables = [_powers(x, size) for x in (*_BASES, *_TURNS)]
         self.up = [t[:n] for t in _Rolling._tables[:2]]
-        self.sums = [np.concatenate([np.zeros(1, _U), np.cumsum(words * t[: n - 1], dtype=_U)]) for t in _Rolling._tables[2:]]
+        self.sums = [np.concatenate([np.zeros(1, _U), np.cumsum(w * t[: n - 1], dtype=_U)]) for w, t in zip(words, _Rolling._tables[2:], strict=True)]
 
     def of(self, which: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         s = self.sums[which]
         return _mix((s[stop] - s[start]) * self.up[which][start])
 
 
-def _hashed(text: bytes | None, cache: _WordHashes) -> np.ndarray:
-    words = (text or b"").split()
-    return np.fromiter(map(cache.__getitem__, words), _U, len(words))
-
-
 def _pieces(words: np.ndarray) -> tuple[np.ndarray, ...] | None:
     """(minimizer, piece hash, first edge, last edge) of each piece of one document."""
-    n = len(words) - WINDOW + 1
+    n = words.shape[1] - WINDOW + 1
     if n < 1:
         return None
     roll = _Rolling(words)
-    at = np.arange(len(words) - K + 1)
+    at = np.arange(words.shape[1] - K + 1)
     mers = roll.of(0, at, at + K)
     width = WINDOW - K + 1
     least = np.empty(n, np.int64)
@@ -104,7 +127,8 @@ def _pieces(words: np.ndarray) -> tuple[np.ndarray, ...] | None:
     hi = np.concatenate([cuts, [n]]) - 1
     at = least[lo]
     shape = ((at - lo) * 64 + (hi - lo)).astype(_U)
-    piece = _mix(roll.of(1, lo, hi + WINDOW) ^ _mix(shape + _U(1)))
+    # both hashes of all the piece's words, and where its minimizer stands
+    piece = _mix(roll.of(1, lo, hi + WINDOW) ^ _mix(roll.of(0, lo, hi + WINDOW) + _mix(shape + _U(1))))
     return mers[at], piece, lo, hi
 
 
@@ -141,13 +165,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # settled rows only pass through, so spread them over all tasks
         key = np.where(again, _mix(doc[go].view(_U) + lo[go].astype(_U) * _U(31)), m[go])
         where = _mark(again, lo[go], hi[go])
-        return pa.RecordBatch.from_arrays([_signed(key), _signed(np.where(again, _U(0), b[go])), pa.array(doc[go]), pa.array(tie[go].astype(np.int32)), pa.array(where)], ["m", "b", "id", "tie", "lo"])
+        return pa.RecordBatch.from_arrays([_signed(key), _signed(np.where(again, _U(0), b[go])), pa.array(doc[go]), pa.array(tie[go]), pa.array(where)], ["m", "b", "id", "tie", "lo"])
 
     for batch in batches:
         ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         found, rows = [], 0
         for i, text in enumerate(batch.column(2).cast(pa.binary())):
-            got = _pieces(_hashed(text.as_py(), cache))
+            got = _pieces(cache.of(text.as_py()))
             if got is None:
                 continue
             m, b, lo, hi = got
@@ -233,7 +257,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(found):
         h1, h2, doc, tie, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(doc), pa.array(tie.astype(np.int32)), pa.array(at.astype(np.int32))], ["h1", "h2", "id", "tie", "lo"])
+        return pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(doc), pa.array(tie), pa.array(at.astype(np.int32))], ["h1", "h2", "id", "tie", "lo"])
 
     for batch in batches:
         ids, ties, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
@@ -242,7 +266,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, lo, hi = _marks(marks[i])
             lo, hi = lo[kind == 1], hi[kind == 1]
             at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
-            roll = _Rolling(_hashed(text.as_py(), cache))
+            roll = _Rolling(cache.of(text.as_py()))
             found.append((roll.of(0, at, at + WINDOW), roll.of(1, at, at + WINDOW), np.full(len(at), ids[i], np.int64), np.full(len(at), ties[i], np.int64), at))
             rows += len(at)
             if rows > _SPAN:
@@ -298,12 +322,12 @@ def _spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = only(df, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), "text")
     # only where an id repeats are rows told apart by their text
     unique = docs.groupBy("id").count().where("count > 1").isEmpty()
-    docs = docs.select("id", (F.lit(0) if unique else F.shiftright(F.xxhash64("text"), 32)).cast("int").alias("tie"), "text")
+    docs = docs.select("id", (F.lit(0) if unique else F.xxhash64("text")).cast("bigint").alias("tie"), "text")
     pieces = docs.mapInArrow(_occurrences, _OCC)
     found = pieces.repartition(n, "m").sortWithinPartitions("m", "b", "id", "tie", "lo").mapInArrow(_bucket_stream, _FOUND)
     per_doc = checkpointed(found.groupBy("id", "tie").agg(F.collect_list("mark").alias("marks")))
     opened = per_doc.where(F.exists("marks", lambda x: x.bitwiseAND(F.lit(1)) == 1))
-    edges = docs.join(opened, ["id", "tie"]).select("id", "tie", "text", "marks").mapInArrow(_edges, "h1 bigint, h2 bigint, id bigint, tie int, lo int")
+    edges = docs.join(opened, ["id", "tie"]).select("id", "tie", "text", "marks").mapInArrow(_edges, "h1 bigint, h2 bigint, id bigint, tie bigint, lo int")
     later = edges.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "id", "tie", "lo").mapInArrow(_later_edges, _FOUND)
     per_doc_edges = later.groupBy("id", "tie").agg(F.collect_list("mark").alias("edges"))
     both = per_doc.withColumnRenamed("marks", "whole").join(per_doc_edges, ["id", "tie"], "full")
@@ -318,7 +342,9 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     window that starts earlier: in a smaller id, or earlier in the same row.
     Windows are judged on the input. Rows repeated with one id and text count as
     one document and get equal results; rows with one id and different texts are
-    ordered by a hash of the text. A null id orders first and returns as null.
+    ordered by a hash of the text. A null id orders first and returns as null. Texts are
+    read whole, however long. An empty table gives an empty result; other columns are not
+    read, whatever their names.
     """
     out = _spans(df, id_col, text_col).mapInArrow(_cleaned, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return out.withColumn("id", F.when(F.col("id") != -(1 << 63), F.col("id")))
@@ -326,3 +352,16 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op2_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: DuckDB's equivalent: every window in full, for tables of a size that bears it.
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as words from documents),
+win as (select doc_id, unnest(range(len(words) - 19)) as i, words from w where len(words) >= 20),
+named as (select doc_id, i, array_to_string(list_slice(words, i + 1, i + 20), ' ') as seq from win),
+later as (select doc_id, i from (select *, row_number() over (partition by seq order by doc_id, i) as nth from named) where nth > 1),
+pos as (select doc_id, unnest(words) as word, unnest(range(len(words))) as i from w),
+marked as (select p.doc_id, p.i, word, max(case when l.i is not null then 1 else 0 end) over (partition by p.doc_id order by p.i rows between 19 preceding and current row) as gone
+           from pos p left join later l on l.doc_id = p.doc_id and l.i = p.i),
+kept as (select doc_id, count(*) as n, sum(gone) as removed, string_agg(word, ' ' order by i) filter (gone = 0) as text from marked group by 1)
+select w.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(removed, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)"""

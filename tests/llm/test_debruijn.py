@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
+
 from quern.llm import debruijn
 
 
@@ -67,3 +70,56 @@ def test_edge_rows(spark):
     got = sorted(((r.id, r.n_words, r.n_removed) for r in debruijn.remove_repeated_windows(df).collect()), key=str)
     assert got == [(1, 0, 0), (2, 0, 0), (3, 30, 0), (3, 30, 0), (4, 31, 30), (None, 0, 0)]
     assert debruijn.remove_repeated_windows(df.where("false")).count() == 0
+
+
+def in_one_process(rows):
+    """The operator's steps by hand, with sorting in place of shuffles."""
+    schema = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("text", pa.string())])
+    docs = pa.RecordBatch.from_pylist([{"id": d, "tie": 0, "text": t} for d, t in rows], schema)
+
+    def by_doc(batches):
+        marks = {}
+        for batch in batches:
+            for d, m in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), strict=True):
+                marks.setdefault(d, []).append(m)
+        return marks
+
+    def sort(batches, *keys):
+        return pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys]).to_batches(max_chunksize=50)
+
+    whole = by_doc(debruijn._bucket_stream(iter(sort(list(debruijn._occurrences([docs])), "m", "b", "id", "tie", "lo"))))
+    lists = pa.list_(pa.int64())
+    opened = [(d, t) for d, t in rows if any(m & 1 for m in whole.get(d, []))]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in opened]), pa.array([0] * len(opened)), pa.array([t for _, t in opened]), pa.array([whole[d] for d, _ in opened], lists)], ["id", "tie", "text", "marks"])
+    edges = by_doc(debruijn._later_edges(iter(sort(list(debruijn._edges([batch])), "h1", "h2", "id", "tie", "lo")))) if opened else {}
+    both = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows]), pa.array([whole.get(d) for d, _ in rows], lists), pa.array([edges.get(d) for d, _ in rows], lists)], ["id", "text", "whole", "edges"])
+    return {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for b in debruijn._cleaned([both]) for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize("which", [None, 0, 1])
+def test_words_that_collide_in_one_hash_are_told_apart(monkeypatch, which):
+    """Ten words share a hash of one of the two functions, and no word passes for another."""
+    true = debruijn._two_hashes
+
+    def colliding(word):
+        found = list(true(word))
+        if which is not None and word[1:].isdigit():
+            found[which] = true(b"group%d" % (int(word[1:]) // 10))[which]
+        return tuple(found)
+
+    monkeypatch.setattr(debruijn, "_two_hashes", colliding)
+    for seed in (11, 12):
+        rows = corpus(seed, 60, vocabulary=30)
+        assert in_one_process(rows) == brute(rows)
+
+
+def test_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in corpus(5, 60)] + [(900, None), (901, ""), (902, " a ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = sorted(con.execute(debruijn.ORACLE).fetchall())
+    assert sorted(tuple(r) for r in debruijn.remove_repeated_windows(df).collect()) == want
