@@ -18,13 +18,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under 0.7; the model is fitted on labelled rows of ``docs``."""
+    """Rows whose toxicity score is under 0.7; the model is fitted on labelled rows of ``docs``.
+
+    Every row is judged by its own text: null ids, repeated rows and null or empty texts
+    (which score as clean) take part like any other.
+    """
     model = toxicity.fit_on_tables(docs, table(spark, sf_dir, "labels"))
     return docs.where(model.score(F.col("text")) < toxicity.REJECT)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: that with the largest doc_id."""
+    """One row of each group of equal texts: that with the largest doc_id.
+
+    A null id stays only where its group has no other; rows repeated with id and text keep one.
+    """
     found = exact_dedup.exact_duplicates(docs).where("not kept")
     # what goes is named by id and text; a row repeated with its id keeps one copy
     gone = found.where("not (id <=> keep_id)").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
@@ -40,7 +47,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: that with the smallest doc_id, null last, then the least text hash."""
+    """One row of each component of near copies: that with the smallest doc_id, null last, then the least text hash.
+
+    Rows are told apart by id and text, so a row that shares its id (or has none) goes only
+    if its own text is a near copy. Empty and null texts are near copies of one another.
+    """
     # a row is named by id and text, as ids may be null or repeated
     sha = F.unhex(F.sha2("text", 256))
     named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sha.alias("sha")).alias("key"), "text")
@@ -57,7 +68,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same rows in the order of the mix, which the written files keep."""
+    """The same rows in the order of the mix; packing computes their slots again, as files promise no order."""
     return pfair.mixed_documents(docs, weights=pfair.TARGET)
 
 
@@ -80,10 +91,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; every result is written to the shared folder and reread."""
+    """All stages on ``documents``; every result is written to the shared folder and reread.
+
+    A stage's folder goes when the next stage has been written, so that no more than two
+    copies of the corpus stand; the last one stays for the reader.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files, before = folder.getFileSystem(spark._jsc.hadoopConfiguration()), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{before}"), True)
+        before = name
     return docs

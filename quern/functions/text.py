@@ -231,7 +231,7 @@ def index_tokens(normalized: Column) -> Column:
 
 def strip_cloze(text: Column) -> Column:
     """Keep the answers of ``{{cN::answer::hint}}``, innermost last, up to eight passes."""
-    return reduce(lambda t, _: F.regexp_replace(t, CLOZE, "$1"), range(CLOZE_PASSES), text)
+    return F.when(text.contains("{{"), reduce(lambda t, _: F.regexp_replace(t, CLOZE, "$1"), range(CLOZE_PASSES), text)).otherwise(text)
 
 
 @F.pandas_udf(StringType())
@@ -269,23 +269,25 @@ def find_spans(text: Column, needle: Column) -> Column:
 
 
 def clamp_spans(found: Column, text: Column) -> Column:
-    inside = F.transform(found, lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), F.least(s["end"], F.char_length(text)).alias("end")))
+    """Spans cut to the text; empty ones go. Other members of a span stay."""
+    inside = F.transform(found, lambda s: s.withField("start", F.greatest(s["start"], F.lit(0))).withField("end", F.least(s["end"], F.char_length(text))))
     return F.filter(inside, lambda s: s["start"] < s["end"])
 
 
 def merge_spans(found: Column) -> Column:
-    """Sorted spans, touching or overlapping ones united."""
-    zero = F.array().cast(_SPAN)
+    """Sorted spans; touching or overlapping ones unite and keep the kind of the first.
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+    ``found`` is an array of structs with ``start`` and ``end`` first, and any further members.
+    """
 
-    def safe(done: Column, s: Column) -> Column:
-        return F.when(F.size(done) == 0, F.array(s)).otherwise(add(done, s))
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = last.withField("end", F.greatest(last["end"], s["end"]))
+        touches = F.coalesce(s["start"] <= last["end"], F.lit(False))
+        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.array_sort(found), zero, safe)
+    ordered = F.array_sort(found)
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
 
 
 def snippet(text: Column, needles: Column, radius: int = 90, maximum: int = 240) -> Column:
@@ -329,11 +331,14 @@ def snippet_html(text: Column, found: Column) -> Column:
     def run(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
         out = []
         for t, found_ in zip(texts, all_spans, strict=True):
+            t = t or ""  # a null text has no place for spans
             parts, at = [], 0
             for s in sorted(([] if found_ is None else found_), key=lambda x: x["start"]):
+                if s["start"] >= len(t):
+                    break
                 parts += [html.escape(t[at : s["start"]]), "<b>", html.escape(t[s["start"] : s["end"]]), "</b>"]
                 at = s["end"]
-            out.append("".join([*parts, html.escape((t or "")[at:])]))
+            out.append("".join([*parts, html.escape(t[at:])]))
         return pd.Series(out)
 
     return run(text, found)
@@ -394,3 +399,19 @@ def bounded_text(text: Column, limit: int = 16 * 1024) -> Column:
 
 def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def release_name(name: Column) -> Column:
+    """Names of a terminology release: case and width folded, accents kept, white space collapsed."""
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else collapse(unicodedata.normalize("NFKC", n).casefold()))
+
+    plain = F.trim(F.regexp_replace(F.lower(name), _ASCII_SPACE, " "))
+    return F.when(_is_ascii(name), plain).otherwise(run(F.when(~_is_ascii(name), name)))
+
+
+def release_parts(names: Column) -> Column:
+    """The names of a list that semicolons or bars separate, without empty ones."""
+    return F.filter(F.transform(F.split(names, "[;|]"), lambda p: F.trim(p)), lambda p: p != "")

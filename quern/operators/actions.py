@@ -125,6 +125,35 @@ def selection(shown: DataFrame, checked: DataFrame, mode: str) -> DataFrame:
     return shown.select(key).join(checked.select(key), key, "left_anti" if mode == "invert" else "left_semi")
 
 
+def select_range(shown: DataFrame, checked: DataFrame, first: int, last: int, on: bool = True, position: str = "position") -> DataFrame:
+    """Checked rows after the rows from one position to another (either way round) are checked or unchecked."""
+    key = next(c for c in shown.columns if c != position)
+    within = shown.where(F.col(position).between(min(first, last), max(first, last))).select(key)
+    return checked.select(key).union(within).distinct() if on else checked.select(key).join(within, key, "left_anti")
+
+
+def result_ids(results: DataFrame) -> DataFrame:
+    """One row: the distinct positive note ids and card ids of results, sorted."""
+    cards = results.select(F.explode("card_ids").alias("id")).where("id > 0").agg(F.array_sort(F.collect_set("id")).alias("card_ids"))
+    return results.where("note_id > 0").agg(F.array_sort(F.collect_set("note_id")).alias("note_ids")).join(cards, F.lit(True))
+
+
+def same_rows(shown: DataFrame, fresh: DataFrame) -> bool:
+    """Whether two result lists have the same notes with the same cards at the same positions."""
+    columns = ["position", "note_id", "card_ids"]
+    a, b = shown.select(columns), fresh.select(columns)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def refreshed(shown: DataFrame, fresh: DataFrame) -> DataFrame | None:
+    """Results with live card states, or None if the rows are no longer the same; nothing else changes."""
+    if not same_rows(shown, fresh):
+        return None
+    states = fresh.select("note_id", F.col("card_states").alias("_states"), F.col("sibling_count").alias("_siblings"))
+    out = shown.drop("card_states", "sibling_count").join(states, "note_id")
+    return out.withColumnRenamed("_states", "card_states").withColumnRenamed("_siblings", "sibling_count")
+
+
 def overlay(results: DataFrame, live: DataFrame) -> DataFrame:
     """Results with live card ids and states where there are some."""
     l = live.select("note_id", F.col("card_ids").alias("_ids"), F.col("card_states").alias("_states"))  # noqa: E741

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.joins import is_small
 from quern.functions.distance import budget, damerau_udf, letter_mask
 from quern.functions.text import tokenize
 
 SUGGESTIONS = 5
+#: Parts of the vocabulary of one word length, where tokens are too many to broadcast.
+_PARTS = 16
 
 
 def build_vocabulary(counts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -25,14 +28,21 @@ def build_vocabulary(counts: DataFrame, aliases: DataFrame | None = None) -> Dat
 def candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(token, term, budget)`` pairs that pass the length and letter tests.
 
-    An equi-join on length, one row a length; the letter masks then leave few pairs for
-    the edit distance.
+    An equi-join on length; the letter masks then leave few pairs for the edit distance.
+    Lengths are few, so no shuffle goes by them: the asked tokens are broadcast while they
+    are few and the vocabulary stays where it lies. Many tokens meet it in sixteen copies
+    of their own, dealt by the vocabulary's words.
     """
     q = tokens.select("token").distinct().withColumn("budget", budget(F.col("token"))).where("budget > 0").withColumn("mask", letter_mask(F.col("token")))
     n = F.char_length("token")
     q = q.select("token", "budget", "mask", F.explode(F.sequence(F.greatest(n - F.col("budget"), F.lit(1)), n + F.col("budget"))).alias("n"))
     v = vocabulary.select("term", "frequency", "trusted", F.char_length("term").alias("n"), letter_mask(F.col("term")).alias("term_mask"))
-    pairs = q.join(v, "n").where(F.col("token") != F.col("term"))
+    if is_small(q):
+        pairs = v.join(F.broadcast(q), "n")
+    else:
+        dealt = v.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(_PARTS)))
+        pairs = dealt.join(q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)).cast("array<bigint>"))), ["n", "part"])
+    pairs = pairs.where(F.col("token") != F.col("term"))
     return pairs.where(F.bit_count(F.col("mask").bitwiseXOR(F.col("term_mask"))) <= 2 * F.col("budget")).select("token", "term", "budget", "frequency", "trusted")
 
 

@@ -1,16 +1,17 @@
 """The lexical index as tables: prepared notes, postings, statistics, upserts.
 
-A version of the index is a directory of Parquet tables and a pointer file names the
-current one, so readers never see a half-written index and a failed build changes
-nothing.
+Texts are normalised once, when notes are prepared; everything else is read from the
+prepared columns. ``publish`` writes all tables of an index from one scan of the notes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import index_tokens, join_searchable, normalize, plain_text, tokenize, truncate
+from quern.functions.text import index_tokens, normalize, plain_text, tokenize, truncate
+from quern.operators.related import source_tags
+from quern.operators.versions import Versions
 
 #: Full-text columns and their BM25 weights (fixed values).
 WEIGHTS = {"title": 8.0, "body": 3.0, "tags": 4.0, "decks": 2.5, "note_type": 2.5}
@@ -39,40 +40,44 @@ def _searchable(notes: DataFrame) -> DataFrame:
     given = plain_text(F.coalesce("title", F.lit("")))
     fallback = F.when(F.size("_values") > 0, truncate(F.try_element_at("_values", F.lit(1)), 180)).otherwise(F.concat(F.lit("Note "), F.col("note_id").cast("string")))
     out = out.withColumn("title", F.coalesce(F.when(given != "", given), fallback))
-    tags, decks, kind = F.array_join("tags", " "), F.array_join("decks", " "), F.coalesce("note_type", F.lit(""))
+    texts = {"title": F.col("title"), "body": F.col("plain_text"), "tags": F.array_join("tags", " "), "decks": F.array_join("decks", " "), "note_type": F.coalesce("note_type", F.lit(""))}
+    out = out.withColumn("columns", F.struct(*(normalize(t).alias(c) for c, t in texts.items())))
+    # parts join at blanks, where normal forms do not interact
+    joined = lambda names: F.concat_ws(" ", *(F.when(F.col(f"columns.{c}") != "", F.col(f"columns.{c}")) for c in names))
     return out.select(
-        "note_id", "card_ids", "title", "fields", "plain_fields", "tags", "decks", "note_type", "plain_text",
-        join_searchable(F.col("title"), F.col("plain_text"), tags, decks, kind).alias("normalized_text"),
-        join_searchable(F.col("plain_text"), tags, decks, kind).alias("vocabulary_text"),
+        "note_id", "card_ids", "title", "fields", "plain_fields", "tags", "decks", "note_type", "plain_text", "columns",
+        joined(texts).alias("normalized_text"), joined([c for c in texts if c != "title"]).alias("vocabulary_text"),
     )
 
 
 def column_texts(prepared: DataFrame) -> DataFrame:
     """The normalised full-text columns of each note."""
-    return prepared.select(
-        "note_id", normalize(F.col("title")).alias("title"), normalize(F.col("plain_text")).alias("body"),
-        normalize(F.array_join("tags", " ")).alias("tags"), normalize(F.array_join("decks", " ")).alias("decks"),
-        normalize(F.coalesce("note_type", F.lit(""))).alias("note_type"),
-    )
+    return prepared.select("note_id", "columns.*")
+
+
+def _length() -> Column:
+    return sum((F.size(index_tokens(F.col(c))) for c in WEIGHTS), F.lit(0)).cast("bigint")
 
 
 def postings(prepared: DataFrame) -> DataFrame:
-    """``(term, note_id, col, pos)``, one row per token occurrence."""
+    """``(term, note_id, len, col, pos)``, one row per token occurrence; ``len`` is the note's."""
     texts = column_texts(prepared)
     each = F.array(*(F.struct(F.lit(c).alias("col"), index_tokens(F.col(c)).alias("tokens")) for c in WEIGHTS))
-    return texts.select("note_id", F.inline(each)).select("note_id", "col", F.posexplode("tokens").alias("pos", "term"))
+    return texts.select("note_id", _length().alias("len"), F.inline(each)).select("note_id", "len", "col", F.posexplode("tokens").alias("pos", "term"))
+
+
+def weight() -> Column:
+    return F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()))
 
 
 def term_counts(prepared: DataFrame) -> DataFrame:
-    """``(term, note_id, wf, n)``: weighted and plain frequency; combined before the shuffle."""
-    weight = F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()))
-    return postings(prepared).groupBy("term", "note_id").agg(F.sum(weight).alias("wf"), F.count("*").alias("n"))
+    """``(term, note_id, wf, n, len)``: weighted and plain frequency; combined before the shuffle."""
+    return postings(prepared).groupBy("term", "note_id").agg(F.sum(weight()).alias("wf"), F.count("*").alias("n"), F.first("len").alias("len"))
 
 
 def doc_stats(prepared: DataFrame) -> DataFrame:
     """``(note_id, len)``: tokens over all columns. No shuffle."""
-    texts = column_texts(prepared)
-    return texts.select("note_id", sum((F.size(index_tokens(F.col(c))) for c in WEIGHTS), F.lit(0)).cast("bigint").alias("len"))
+    return column_texts(prepared).select("note_id", _length().alias("len"))
 
 
 def vocabulary(prepared: DataFrame) -> DataFrame:
@@ -127,48 +132,44 @@ def merge_counts(stored: DataFrame, added: DataFrame, removed: DataFrame, key: s
     return signed.groupBy(key).agg(F.sum(count).alias(count)).where(F.col(count) > 0)
 
 
-class Versions:
-    """Versions of an index under one root, on any file system that Spark can write."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def current(self) -> int:
-        """The generation that readers use; 0 before the first publication."""
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first().value)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.current()}/{name}")
-
-    def publish(self, tables: dict[str, DataFrame], content_changed: bool = True) -> int:
-        """Write a new version, then move the pointer. Scope-only changes keep the generation number of content."""
-        before = self.current()
-        new = before + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{new}/{name}")
-        generation = self.generation() + int(content_changed)
-        self._put("GENERATION", generation)
-        self._put("CURRENT", new)
-        return new
-
-    def generation(self) -> int:
-        fs, p = self._fs(f"{self.root}/GENERATION")
-        return int(self.spark.read.text(f"{self.root}/GENERATION").first().value) if fs.exists(p) else 0
-
-    def _put(self, name: str, value: int) -> None:
-        fs, temp = self._fs(f"{self.root}/.{name}.new")
-        _, final = self._fs(f"{self.root}/{name}")
-        out = fs.create(temp, True)
-        out.writeBytes(str(value))
-        out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(temp, final)
+#: Folders that a published index is split into by term, so that a search reads few of them.
+SHARDS = 16
+SHARDED = {"postings": "shard", "counts": "shard", "terms": "shard", "vocabulary": "shard"}
+
+
+def shard(term: Column, shards: int = SHARDS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+
+
+def publish(versions: Versions, notes: DataFrame, aliases: DataFrame | None = None, single_field: bool = False, shards: int = SHARDS, extra: dict[str, DataFrame] | None = None, keys: dict | None = None) -> int:
+    """Build all tables of an index and commit them as one version.
+
+    ``prepared`` is written first and everything else is derived from it, so the notes
+    are scanned and normalised once. Tables by term are in folders by a hash of the term.
+    ``extra`` tables and ``keys`` are committed with them; other tables of the root stay.
+    """
+    stage = Versions(versions.spark, f"{versions.root}/_stage")
+    stage.publish({"prepared": prepare_single_field(notes) if single_field else prepare(notes)})
+    prepared = stage.read("prepared")
+
+    def by_term(df: DataFrame) -> DataFrame:
+        # a term of most notes is spread over eight tasks of its folder
+        spread = [F.pmod("note_id", F.lit(8))] if "note_id" in df.columns else []
+        return df.withColumn("shard", shard(F.col("term"), shards)).repartition("shard", *spread).sortWithinPartitions("shard", "term")
+
+    stage.publish({"counts": by_term(term_counts(prepared))}, partition_by=SHARDED)
+    stats, counts = doc_stats(prepared), stage.read("counts")
+    corpus = stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    words = vocabulary(prepared)
+    tables = {
+        "prepared": prepared, "stats": stats, "counts": counts, "postings": by_term(postings(prepared)),
+        "terms": counts.groupBy("shard", "term").agg(F.count("*").alias("df")).repartition("shard"),
+        "vocabulary": by_term(words), "field_names": field_name_counts(prepared), "source_tags": source_tags(prepared), **(extra or {}),
+    }
+    if aliases is not None:
+        tables["aliases"] = aliases
+    version = versions.publish(tables, keys={"n_notes": corpus.n, "mean_length": corpus.mean or 1.0, "shards": shards, **(keys or {})}, partition_by=SHARDED)
+    # the staged tables have been written again under their final names
+    stage.publish({}, drop=("prepared", "counts"))
+    stage.prune()
+    return version

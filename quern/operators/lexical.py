@@ -1,8 +1,9 @@
 """BM25 retrieval over the index tables, for many queries in one plan.
 
-A phrase is a list of index tokens; ``terms(phrase_id, term)`` has the phrases of one
-token, longer ones are found by position. ``clauses(query_id, group_id, phrase_id)``
-says which phrases may satisfy each group of a query.
+A phrase is a list of index tokens; phrases of one token are read from the counts, longer
+ones are found by position. ``clauses(query_id, group_id, phrase_id)`` says which phrases
+may satisfy each group of a query. What is asked is small beside the index: it is counted
+and broadcast, so a term of most notes is scored where its rows lie and never gathered.
 """
 
 from __future__ import annotations
@@ -10,36 +11,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.index import WEIGHTS
+from quern.functions.joins import join_on_hidden_key, join_small
+from quern.operators.index import shard, weight
 
 K1, B = 1.2, 0.75
 #: idf of a phrase in half of the notes or more (fixed value).
 LEAST_IDF = 1e-6
 
 
-def word_hits(term_counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(phrase_id, note_id, wf)`` of one-token phrases."""
-    return term_counts.join(terms.select("phrase_id", "term"), "term").select("phrase_id", "note_id", "wf")
+def _sharded(asked: DataFrame, table: DataFrame, shards: int | None) -> tuple[DataFrame, list[str]]:
+    """Join columns of a table by term; published ones are split by shard, which prunes their folders."""
+    if shards and "shard" in table.columns:
+        return asked.withColumn("shard", shard(F.col("term"), shards)), ["shard", "term"]
+    return asked, ["term"]
 
 
-def word_hits_in(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """``word_hits`` from raw postings: only the asked terms' occurrences are aggregated."""
-    weight = F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()))
-    return postings.join(terms.select("phrase_id", "term"), "term").groupBy("phrase_id", "note_id").agg(F.sum(weight).alias("wf"))
+def with_frequency(asked: DataFrame, terms: DataFrame, shards: int | None = None) -> DataFrame:
+    """``asked`` (with ``term``) and the number of notes ``df`` of each term that occurs."""
+    asked, on = _sharded(asked, terms, shards)
+    return join_small(terms, asked, on).drop("shard")
 
 
-def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``(phrase_id, note_id, wf)`` of phrases ``(phrase_id, tokens)``; none spans columns.
+def word_hits(counts: DataFrame, asked: DataFrame, shards: int | None = None) -> DataFrame:
+    """``(asked columns, note_id, wf, len)`` of one-token phrases."""
+    asked, on = _sharded(asked, counts, shards)
+    return join_small(counts.drop("n"), asked, on).drop("shard", "term")
+
+
+def phrase_hits(postings: DataFrame, phrases: DataFrame, shards: int | None = None) -> DataFrame:
+    """``(phrase_id, note_id, wf, len)`` of phrases ``(phrase_id, tokens)``; none spans columns.
 
     Every token occurrence names the position at which its phrase would begin; where all
     of a phrase's tokens name one position, the phrase occurs. One join, however long
     the phrase.
     """
-    each = phrases.select("phrase_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "term"))
-    begins = postings.join(each, "term").select("phrase_id", "n", "note_id", "col", (F.col("pos") - F.col("at")).alias("begin"), "at")
-    whole = begins.groupBy("phrase_id", "note_id", "col", "begin", "n").agg(F.countDistinct("at").alias("found")).where("found = n")
-    weight = F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()))
-    return whole.groupBy("phrase_id", "note_id").agg(F.sum(weight).alias("wf"))
+    each = phrases.select("phrase_id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "term"))
+    each, on = _sharded(each, postings, shards)
+    begins = join_small(postings, each, on).select("phrase_id", "size", "note_id", "len", "col", (F.col("pos") - F.col("at")).alias("begin"))
+    whole = begins.groupBy("phrase_id", "note_id", "col", "begin", "size").agg(F.count("*").alias("found"), F.first("len").alias("len")).where("found = size")
+    return whole.groupBy("phrase_id", "note_id").agg(F.sum(weight()).alias("wf"), F.first("len").alias("len"))
 
 
 def idf(n_docs: int, n: Column) -> Column:
@@ -47,16 +57,33 @@ def idf(n_docs: int, n: Column) -> Column:
     return F.when(found > 0, found).otherwise(F.lit(LEAST_IDF))
 
 
-def scored(hits: DataFrame, clauses: DataFrame, doc_stats: DataFrame, corpus: tuple[int, float]) -> DataFrame:
-    """``(query_id, note_id, score, groups)``: BM25 (less is better) and groups satisfied.
+def _parts(hits: DataFrame, corpus: tuple[int, float]) -> DataFrame:
+    n_docs, mean = corpus
+    part = idf(n_docs, F.col("df")) * F.col("wf") * (K1 + 1) / (F.col("wf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
+    return hits.select("query_id", "group_id", "note_id", part.alias("part"))
+
+
+def word_parts(counts: DataFrame, terms: DataFrame, asked: DataFrame, corpus: tuple[int, float], shards: int | None = None) -> DataFrame:
+    """``(query_id, group_id, note_id, part)``: BM25 of every hit of words ``asked(query_id, group_id, term)``.
 
     ``corpus`` is the number of notes and their mean length.
     """
-    n_docs, mean = corpus
-    counts = hits.groupBy("phrase_id").agg(F.count("*").alias("n_notes"))
-    per = hits.join(counts, "phrase_id").join(clauses, "phrase_id").join(doc_stats, "note_id")
-    part = idf(n_docs, F.col("n_notes")) * F.col("wf") * (K1 + 1) / (F.col("wf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-    return per.groupBy("query_id", "note_id").agg((-F.sum(part)).alias("score"), F.countDistinct("group_id").alias("groups"))
+    return _parts(word_hits(counts, with_frequency(asked, terms, shards), shards), corpus)
+
+
+def phrase_parts(postings: DataFrame, phrases: DataFrame, clauses: DataFrame, corpus: tuple[int, float], shards: int | None = None) -> DataFrame:
+    """The same for phrases ``(phrase_id, tokens)`` of ``clauses(query_id, group_id, phrase_id)``."""
+    hits = phrase_hits(postings, phrases, shards)
+    counts = hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
+    return _parts(join_small(join_on_hidden_key(hits, counts, "phrase_id"), clauses, "phrase_id"), corpus)
+
+
+def matched(*parts: DataFrame) -> DataFrame:
+    """``(query_id, note_id, score, groups)``: sums (less is better) and groups satisfied. One exchange, by note."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("query_id", "note_id").agg((-F.sum("part")).alias("score"), F.countDistinct("group_id").alias("groups"))
 
 
 def ranked(matches: DataFrame, limit: int, order: list[Column] | None = None) -> DataFrame:
@@ -73,4 +100,4 @@ def corpus_size(doc_stats: DataFrame) -> tuple[int, float]:
 def strict(matches: DataFrame, clauses: DataFrame) -> DataFrame:
     """Matches that satisfy every group of their query."""
     wanted = clauses.groupBy("query_id").agg(F.countDistinct("group_id").alias("wanted"))
-    return matches.join(wanted, "query_id").where("groups = wanted").drop("wanted")
+    return join_small(matches, wanted, "query_id").where("groups = wanted").drop("wanted")

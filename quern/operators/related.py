@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.joins import join_on_hidden_key, join_small
+
 # The default providers of source tags and how they are written.
 PROVIDERS = {"uworld": "UWorld", "amboss": "AMBOSS"}
 
@@ -53,17 +55,28 @@ def related(tags: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(note_id, shared, least, total, score)`` for notes that share a tag with a seed.
 
     ``tags(note_id, tag_key)`` holds each pair once, ``seeds(note_id)``. A tag's frequency
-    counts all of its notes, seeds too; seeds themselves are left out of the result. Tag
-    counts meet tags by key, so a tag of many notes is spread like any join.
+    counts all of its notes, seeds too; seeds themselves are left out of the result. Seeds
+    and their tags are broadcast while they are few. The frequencies come from an aggregate
+    by tag, whose key is hidden from the join, so a tag of a third of all notes is split.
     """
     seeds = seeds.select("note_id").distinct()
-    wanted = tags.join(seeds, "note_id", "left_semi").select("tag_key").distinct()
-    shared = tags.join(wanted, "tag_key", "left_semi").select("note_id", "tag_key")
+    wanted = join_small(tags, seeds, "note_id", "left_semi").select("tag_key").distinct()
+    shared = join_small(tags, wanted, "tag_key", "left_semi").select("note_id", "tag_key")
     counts = shared.groupBy("tag_key").agg(F.count("*").alias("frequency"))
-    out = shared.join(seeds, "note_id", "left_anti").join(counts, "tag_key")
+    out = join_on_hidden_key(join_small(shared, seeds, "note_id", "left_anti"), counts, "tag_key")
     return out.groupBy("note_id").agg(F.count("*").alias("shared"), F.min("frequency").alias("least"), F.sum("frequency").alias("total"), (F.count("*") + F.sum(1 / F.col("frequency"))).alias("score"))
 
 
+def key_sets(tags: DataFrame) -> DataFrame:
+    """``(note_id, keys)``: each note's distinct tag keys, sorted."""
+    return tags.groupBy("note_id").agg(F.array_sort(F.collect_set("tag_key")).alias("keys"))
+
+
+def replaced(stored: DataFrame, notes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored source tags with those of some notes replaced: all rows of ``notes(note_id)`` go, ``fresh`` come."""
+    return stored.join(notes.select("note_id").distinct(), "note_id", "left_anti").unionByName(fresh.select(stored.columns))
+
+
 ORDER = ("shared desc", "least", "total", "note_id")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,50 +46,99 @@ def topk(vectors: DataFrame, query: list[float], k: int, allowed: DataFrame | No
     return unit.select("note_id", dot(F.col("u"), q).alias("similarity")).orderBy(F.desc("similarity"), "note_id").limit(k)
 
 
-def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """``(query_id, note_id, similarity, rank)`` for a stated set of queries.
+#: Queries that one task multiplies at a time, and vectors that it takes together.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
-    ``queries(query_id, embedding)`` is broadcast only while it is small enough to hold in
-    every task (``block`` queries); otherwise it is searched block by block. Every task
-    multiplies Arrow batches and keeps its k best per query; the partial lists merge.
+
+def unit(rows: list[list[float]], floor: float = ZERO_NORM) -> np.ndarray:
+    """Rows of length one; a row shorter than ``floor`` is divided by it and so stays near zero."""
+    v = np.asarray(rows, np.float64).reshape(len(rows), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), floor)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (row, column) of each row's k best scores, ties by id, without sorting all."""
+    n = scores.shape[1]
+    if n > k:
+        bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        rows, columns = np.nonzero(scores >= bound)
+    else:
+        rows, columns = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, np.arange(len(scores)))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], columns[keep]
+
+
+def topk_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, note_id, similarity, rank)`` for a stated set of queries against all vectors.
+
+    Queries are packed into blocks of ``QUERY_BLOCK`` rows of one array each; every batch of
+    vectors meets every block as one matrix product and sends on its k best for each query.
+    The blocks are broadcast while they are few and else each vector batch goes to all of
+    them by a join; either way a task holds one block and one batch. Null and zero vectors
+    are left out on both sides.
     """
-    import numpy as np
-
-    asked = queries.orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    found, block_rows = [], []
-
-    def search(rows) -> DataFrame:
-        ids = np.array([r.query_id for r in rows], np.int64)
-        q = np.array([r.embedding for r in rows], np.float64)
-        length = np.linalg.norm(q, axis=1)
-        keep = length > ZERO_NORM
-        ids, q = ids[keep], q[keep] / length[keep, None]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows_ = pdf[pdf["embedding"].notna()]
-                if not len(rows_) or not len(ids):
+    dims = queries.select(F.size("embedding")).where("embedding is not null").first()
+    out = "query_id bigint, note_id bigint, similarity double"
+    if dims is None or k <= 0:
+        return vectors.sparkSession.createDataFrame([], out + ", rank int")
+
+    def found(ids: np.ndarray, q: np.ndarray, notes: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        rows, columns = _best(notes, scores := q @ v.T, k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(notes[columns]), pa.array(scores[rows, columns])], ["query_id", "note_id", "similarity"])
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def one_size(df: DataFrame, key: str) -> DataFrame:
+        u = normalized(F.col("embedding"))
+        return df.select(F.col(key).cast("bigint").alias(key), u.alias("u")).where(F.col("u").isNotNull() & (F.size("u") == dims[0]))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of (block, side, id, u), sorted: a block's queries, then its vectors."""
+        asked, now = None, None
+        for batch in batches:
+            block, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+                if a == b:
                     continue
-                v = np.stack(rows_["embedding"].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(v, axis=1)
-                v, notes = v[n > ZERO_NORM] / n[n > ZERO_NORM, None], rows_["note_id"].to_numpy()[n > ZERO_NORM]
-                scores = q @ v.T
-                for i, s in enumerate(scores):
-                    best = np.lexsort((notes, -s))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "note_id": notes[best], "similarity": s[best]})
-
-        return vectors.select("note_id", "embedding").mapInPandas(run, "query_id bigint, note_id bigint, similarity double")
-
-    for r in asked:
-        block_rows.append(r)
-        if len(block_rows) == block:
-            found.append(search(block_rows))
-            block_rows = []
-    if block_rows or not found:
-        found.append(search(block_rows))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+                ids, u = batch.column(2).slice(a, b - a).to_numpy(), matrix(batch.column(3).slice(a, b - a))
+                if side[a]:
+                    if asked is not None and now == block[a]:
+                        yield found(*asked, ids, u)
+                elif now == block[a]:
+                    asked = np.concatenate([asked[0], ids]), np.concatenate([asked[1], u])
+                else:
+                    asked, now = (ids, u), block[a]
+
+    q = one_size(queries, "query_id")
+    v = one_size(vectors, "note_id")
+    n = q.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    if blocks == 1:
+        # one block: it goes to every task in the closure, at most QUERY_BLOCK rows
+        held = q.toArrow().combine_chunks()
+        ids, mine = held.column("query_id").to_numpy(), matrix(held.column("u").combine_chunks())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                    part = batch.slice(at, VECTOR_BLOCK)
+                    if len(ids):
+                        yield found(ids, mine, part.column(0).to_numpy(), matrix(part.column(1)))
+
+        every = v.mapInArrow(scan, out)
+    else:
+        tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(1, -(-tasks // blocks))
+        numbered = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        left = numbered.select("block", F.lit(0).alias("side"), F.col("query_id").alias("id"), "u").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+        right = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"), F.lit(1).alias("side"), F.col("note_id").alias("id"), "u", F.pmod(F.xxhash64("note_id"), F.lit(slices)).alias("slice"))
+        met = left.unionByName(right).withColumn("block", F.col("block") * slices + F.col("slice")).select("block", "side", "id", "u")
+        every = met.repartition(max(tasks, blocks * slices), "block").sortWithinPartitions("block", "side").mapInArrow(product, out)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "note_id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -116,19 +166,32 @@ def source_text(plain: Column, title: Column) -> Column:
     return F.coalesce(F.when(F.trim(plain) != "", plain), title)
 
 
-def embed(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
-    """``(note_id, embedding)`` by any function of a list of texts; Arrow batches, no model included."""
+def embed(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 16, tokens: Callable[[str], list] | None = None, most_tokens: int = 512) -> DataFrame:
+    """``(note_id, embedding)``, of length one, by any function of a list of texts; no model is included.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), batch):
-                part = pdf.iloc[a : a + batch]
-                yield pd.DataFrame({"note_id": part["note_id"], "embedding": model(part["text"].tolist())})
+    ``tokens`` splits a text into pieces that join to it again; with it, a text is cut
+    after ``most_tokens`` of them, as models with a window do.
+    """
+
+    def shortened(text: str) -> str:
+        return text if tokens is None else "".join(tokens(text)[:most_tokens])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for a in range(0, rows.num_rows, batch):
+                part = rows.slice(a, batch)
+                found = unit(model([shortened(t) for t in part.column(1).to_pylist()])).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.tolist(), pa.list_(pa.float32()))], ["note_id", "embedding"])
 
-    return texts.select("note_id", "text").mapInPandas(run, "note_id bigint, embedding array<float>")
+    return texts.select("note_id", "text").mapInArrow(run, "note_id bigint, embedding array<float>")
 
 
 def row_parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cosine of each row's vectors in two tables, for comparing two models."""
     left, right = a.select("note_id", F.col("embedding").alias("x")), b.select("note_id", F.col("embedding").alias("y"))
     return left.join(right, "note_id").select("note_id", (dot(F.col("x"), F.col("y")) / (norm(F.col("x")) * norm(F.col("y")))).alias("cosine"))
+
+
+def trend(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """``(keys, slope)``: least-squares slope of y over x; null without two different x."""
+    return rows.groupBy(*keys).agg(F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("slope"))

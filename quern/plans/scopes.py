@@ -48,7 +48,10 @@ class Scope:
         return max(found)[1] if found else None
 
     def toggled(self, name: str) -> Scope:
-        """Check a deck that is out, uncheck one that is in, with its branch."""
+        """Check a deck that is out, uncheck one that is in, with its branch.
+
+        A deck below an excluded one stays as it is: the exclusion itself restores the branch.
+        """
         roots = [r for r in self.roots if not is_below(r, name) and identity(r) != identity(name)]
         excluded = [e for e in self.excluded if not is_below(e, name) and identity(e) != identity(name)]
         now = self.state(name)
@@ -58,7 +61,7 @@ class Scope:
         if inherits:
             return Scope.of(roots, excluded)
         if any(is_below(name, e) for e in excluded):
-            raise ValueError("a branch inside an exclusion is restored from the exclusion itself")
+            return self
         return Scope.of([*roots, name], excluded)
 
     def clause(self) -> str:
@@ -131,9 +134,9 @@ def _has_deck(node) -> bool:
 def analyze(query: str) -> tuple[str, Scope]:
     """ALL without deck tokens, SELECTED with one exact scope beside other terms, else CUSTOM."""
     try:
-        tree = parse_expression(query)
+        tree = parse_expression(query, native=True)
     except UnsupportedFilter:
-        tokens, _ = scan(query)
+        tokens, _ = scan(query, native=True)
         return (CUSTOM if any(map(_is_deck, tokens)) else ALL), Scope()
     if not _has_deck(tree):
         return ALL, Scope()
@@ -159,12 +162,12 @@ def apply_selection(query: str, scope: Scope) -> str:
     clause = scope.clause()
     if not clause or not rest:
         return clause or rest
-    tree = parse_expression(rest) if rest else ("and", [])
+    tree = parse_expression(rest, native=True) if rest else ("and", [])
     return f"{clause} ({rest})" if tree[0] == "or" else f"{clause} {rest}"
 
 
 def _without_scope(query: str) -> str:
-    tokens, _ = scan(query)
+    tokens, _ = scan(query, native=True)
     drop: set[int] = {i for i, t in enumerate(tokens) if _is_deck(t)}
     changed = True
     while changed:  # parentheses and controls that lost their operands

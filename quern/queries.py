@@ -3,10 +3,16 @@
 The mapping of the driver tables: a document is a note (id + 1) with one field, tags
 language and source, deck ``language::source``; an order is a note and its lines are
 cards; events are a change feed; embeddings are vectors of notes.
+
+Searches read an index that the first of them publishes, in the folder that the cluster
+shares, once for each session and data folder. Other queries read the tables.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +21,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import actions, changes, fusion, fuzzy, index, lexical, related, vectors
 from quern.operators.search import Engine, Index
+from quern.operators.versions import Versions
 from quern.plans.parser import Parser
 from quern.plans.predicates import compile_filter
 from quern.plans.scopes import Scope, visible_decks
@@ -41,11 +48,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from quern import upkeep_queries
+
+    return {**_QUERIES, **upkeep_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from quern import upkeep_queries
+
+    return {**_SQL, **upkeep_queries.oracle_sql()}
 
 
 # --- shared SQL and frames ----------------------------------------------------------
@@ -98,24 +109,50 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
     return documents_as_notes(table(spark, d, "documents"))
 
 
+def workspace(spark: SparkSession) -> str:
+    """A folder of this session that all executors share.
+
+    It lies in ``spark.checkpoint.dir``, or in the context's checkpoint folder. Only a
+    local session may go without both, and then uses the machine's temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "quern-workspace")
+    return f"{shared}/quern-{spark.sparkContext.applicationId}"
+
+
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    """The published index of a data folder's documents; built once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _OPEN:
+        root = f"{workspace(spark)}/index-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
+        versions = Versions(spark, root)
+        if not versions.has("prepared"):
+            index.publish(versions, _notes(spark, d), spark.createDataFrame(ALIASES, "alias string, canonical string"), single_field=True)
+        _OPEN[key] = Index.open(versions)
+    return _OPEN[key]
+
+
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
     return index.prepare_single_field(_notes(spark, d))
 
 
-def _bench_terms(spark: SparkSession, d: str, n: int) -> DataFrame:
-    """(query_id, group_id, term): the n longest distinct words of each benchmark text."""
+def _bench_terms(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+    """(query_id, group_id, term): the distinct words of each benchmark text, longest first; the first n, or all."""
     words = table(spark, d, "benchmark").select("item_id", F.explode(T.index_tokens(T.normalize(F.col("text")))).alias("term")).distinct()
     w = Window.partitionBy("item_id").orderBy(F.desc(F.char_length("term")), "term")
-    return words.withColumn("group_id", F.row_number().over(w)).where(F.col("group_id") <= n).select(F.col("item_id").alias("query_id"), "group_id", "term")
+    words = words.withColumn("group_id", F.row_number().over(w))
+    return (words if n is None else words.where(F.col("group_id") <= n)).select(F.col("item_id").alias("query_id"), "group_id", "term")
 
 
-def _scored(spark: SparkSession, d: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    prepared = _prepared(spark, d)
-    stats = index.doc_stats(prepared)
-    wanted = terms.select("term").distinct().withColumn("phrase_id", F.xxhash64("term"))
-    clauses = terms.select("query_id", "group_id", F.xxhash64("term").alias("phrase_id"))
-    hits = lexical.word_hits_in(index.postings(prepared), wanted)
-    return lexical.scored(hits, clauses, stats, lexical.corpus_size(stats)), clauses
+def _scored(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
+    idx = _index(spark, d)
+    return lexical.matched(lexical.word_parts(idx.counts, idx.terms, terms, idx.corpus, idx.shards))
 
 
 def _top(matches: DataFrame, cap: int = TOP) -> DataFrame:
@@ -179,34 +216,42 @@ _BASE = f"with {_PREP}, {_COUNTS}, {_TERMS}"
 
 @query(f"{_BASE}, {_match('select item_id as query_id, g as group_id, term from bench where g <= 1')} {_rank('select * from m')}")
 def bm25_topk_single(spark, d):
-    return _top(_scored(spark, d, _bench_terms(spark, d, 1))[0])
+    """The longest word of each benchmark text: queries of one word are the case that is tried."""
+    return _top(_scored(spark, d, _bench_terms(spark, d, 1)))
 
 
 @query(f"{_BASE}, {_match('select item_id as query_id, g as group_id, term from bench where g <= 3')} {_rank('select m.* from m join wanted using (query_id) where groups = wanted')}")
 def bm25_topk_and(spark, d):
-    return _top(lexical.strict(*_scored(spark, d, _bench_terms(spark, d, 3))))
+    """The three longest words of each benchmark text, all required."""
+    terms = _bench_terms(spark, d, 3)
+    return _top(lexical.strict(_scored(spark, d, terms), terms))
 
 
-@query(f"{_BASE}, {_match('select item_id as query_id, g as group_id, term from bench where g <= 3')} {_rank('select * from m')}")
+@query(f"{_BASE}, {_match('select item_id as query_id, g as group_id, term from bench')} {_rank('select * from m')}")
 def bm25_topk_or(spark, d):
-    return _top(_scored(spark, d, _bench_terms(spark, d, 3))[0])
+    """All distinct words of each benchmark text, any of them."""
+    return _top(_scored(spark, d, _bench_terms(spark, d)))
 
 
-@query(f"""with {_PREP}, {_COUNTS},
-pairs as (select item_id, toks[1] as a, toks[2] as b from (select item_id, regexp_extract_all({_norm("text")}, '{_TOK}') as toks from benchmark) where len(toks) >= 2),
-pos as (select note_id, col, w, unnest(toks) as term, unnest(range(len(toks))) as at from cols),
-hit as (select a, b, x.note_id, sum(x.w) as wf from (select distinct a, b from pairs) join pos x on x.term = a join pos y on y.term = b and y.note_id = x.note_id and y.col = x.col and y.at = x.at + 1 group by all),
-dfs as (select a, b, count(*) as df from hit group by all),
+_PHRASE_SQL = f"""with {_PREP}, {_COUNTS},
+asked as (select item_id, toks, len(toks) as size from (select item_id, regexp_extract_all({_norm("text")}, '{_TOK}') as toks from benchmark) where len(toks) >= 2),
+each as (select item_id, size, unnest(toks) as term, unnest(range(size)) as i from asked),
+pos as (select note_id, col, w, unnest(toks) as term, unnest(range(len(toks))) as pos from cols),
+begins as (select item_id, size, note_id, col, w, pos - i as starts, count(*) as found from each join pos using (term) group by all),
+hit as (select item_id, note_id, sum(w) as wf from begins where found = size group by all),
+dfs as (select item_id, count(*) as df from hit group by 1),
 m as (select item_id as query_id, note_id, -(case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end * wf * 2.2 / (wf + 1.2 * (0.25 + 0.75 * len / mean))) as score
-      from pairs join hit using (a, b) join dfs using (a, b) join lens using (note_id), corpus) {_rank("select * from m")}""")
+      from hit join dfs using (item_id) join lens using (note_id), corpus)"""
+
+
+@query(f"{_PHRASE_SQL} {_rank('select * from m')}")
 def bm25_phrase(spark, d):
+    """Each whole benchmark text as one phrase."""
     tokens = T.index_tokens(T.normalize(F.col("text")))
-    asked = table(spark, d, "benchmark").select("item_id", tokens.alias("t")).where(F.size("t") >= 2).select("item_id", F.slice("t", 1, 2).alias("tokens")).withColumn("phrase_id", F.xxhash64("tokens"))
-    prepared = _prepared(spark, d)
-    stats = index.doc_stats(prepared)
-    hits = lexical.phrase_hits(index.postings(prepared), asked.select("phrase_id", "tokens").distinct())
-    clauses = asked.select(F.col("item_id").alias("query_id"), F.lit(1).alias("group_id"), "phrase_id")
-    return _top(lexical.scored(hits, clauses, stats, lexical.corpus_size(stats)))
+    asked = table(spark, d, "benchmark").select("item_id", tokens.alias("tokens")).where(F.size("tokens") >= 2)
+    idx = _index(spark, d)
+    clauses = asked.select(F.col("item_id").alias("query_id"), F.lit(1).alias("group_id"), F.col("item_id").alias("phrase_id"))
+    return _top(lexical.matched(lexical.phrase_parts(idx.postings, asked.select(F.col("item_id").alias("phrase_id"), "tokens"), clauses, idx.corpus, idx.shards)))
 
 
 _ALIAS_SQL = " union all ".join(f"select {i} as query_id, 1 as group_id, '{w}' as term" for i, pair in enumerate(ALIASES[:3]) for w in pair) + " union all select unnest([0, 1, 2]), 2, 'the'"
@@ -216,7 +261,7 @@ _ALIAS_SQL = " union all ".join(f"select {i} as query_id, 1 as group_id, '{w}' a
 def alias_group_match(spark, d):
     rows = [(i, 1, w) for i, pair in enumerate(ALIASES[:3]) for w in pair] + [(i, 2, "the") for i in range(3)]
     terms = spark.createDataFrame(rows, "query_id int, group_id int, term string")
-    return _top(lexical.strict(*_scored(spark, d, terms)))
+    return _top(lexical.strict(_scored(spark, d, terms), terms))
 
 
 _FUSED = f"""{_BASE}, {_match("select item_id as query_id, g as group_id, term from bench where g <= 3")},
@@ -227,8 +272,9 @@ placed as (select *, row_number() over (partition by query_id order by score des
 
 
 def _fused(spark, d):
-    matches, clauses = _scored(spark, d, _bench_terms(spark, d, 3))
-    strict = lexical.ranked(lexical.strict(matches, clauses), fusion.source_limit("literal_strict", TOP), [F.round("score", 9)])
+    terms = _bench_terms(spark, d, 3)
+    matches = _scored(spark, d, terms)
+    strict = lexical.ranked(lexical.strict(matches, terms), fusion.source_limit("literal_strict", TOP), [F.round("score", 9)])
     broad = lexical.ranked(matches, fusion.source_limit("literal_broad", TOP), [F.round("score", 9)])
     hits = strict.select("query_id", "note_id", F.lit("literal_strict").alias("source"), "rank").unionByName(broad.select("query_id", "note_id", F.lit("literal_broad").alias("source"), "rank"))
     return fusion.reciprocal_ranks(hits).withColumn("score", F.round("score", 8))
@@ -258,7 +304,7 @@ select query_id, note_id, score, matched from cov join best using (query_id) whe
 def concept_coverage_cutoff(spark, d):
     terms = _bench_terms(spark, d, 3)
     concepts = terms.groupBy("query_id").agg(F.collect_list(F.array(F.struct(F.col("term").alias("text"), F.lit(False).alias("phrase")))).alias("concepts"))
-    docs = _prepared(spark, d).select("note_id", "normalized_text", T.tokenize(F.col("normalized_text")).alias("tokens"))
+    docs = _index(spark, d).prepared.select("note_id", "normalized_text", T.tokenize(F.col("normalized_text")).alias("tokens"))
     rows = fusion.coverage(_fused(spark, d).join(concepts, "query_id").join(docs, "note_id"))
     return fusion.smart_cutoff(rows).select("query_id", "note_id", "score", F.col("matched").cast("bigint").alias("matched"))
 
@@ -274,7 +320,7 @@ def exact_engine_search(spark, d):
 
 
 def _engine(spark, d) -> Engine:
-    return Engine(spark, Index.build(_notes(spark, d), spark.createDataFrame(ALIASES, "alias string, canonical string"), single_field=True))
+    return Engine(spark, _index(spark, d))
 
 
 @query(f"""with {_PREP} select note_id, title, cast(null as double) as score from texts join documents on doc_id + 1 = note_id
@@ -297,7 +343,11 @@ def filter_only(spark, d):
     return found.select("note_id", F.lit(1.0).alias("score"))
 
 
-@query()
+@query(f"""with {_PREP}, t as (select note_id, regexp_extract_all(normalized_text, '{_WORD}') as w from texts),
+pos as (select note_id, unnest(w) as term, unnest(range(len(w))) as i from t),
+ev as (select *, sum(cast(term = 'the' as integer)) over (partition by note_id order by i) as the_n, min(case when term = 'of' then i end) over (partition by note_id order by i rows between current row and unbounded following) as next_of from pos where term in ('the', 'of')),
+second as (select note_id, the_n, min(i) as i from ev where term = 'the' group by all)
+select e.note_id, cast(min(greatest(s.i, next_of) - e.i + 1) as integer) as span from ev e join second s on s.note_id = e.note_id and s.the_n = e.the_n + case when e.term = 'the' then 1 else 2 end where next_of is not null group by 1""")
 def proximity_span(spark, d):
     docs = _prepared(spark, d).select("note_id", T.tokenize(F.col("normalized_text")).alias("tokens"))
     wanted = F.array(F.lit("the"), F.lit("of"), F.lit("the"))
@@ -316,7 +366,7 @@ sug as (select *, row_number() over (partition by token order by distance, confi
 
 
 def _vocab(spark, d):
-    return fuzzy.build_vocabulary(index.vocabulary(_prepared(spark, d)))
+    return fuzzy.build_vocabulary(_index(spark, d).words)
 
 
 def _asked(spark):
@@ -396,7 +446,9 @@ def vector_topk_filtered(spark, d):
     return _similar(spark, d, TOP, _vectors(spark, d).where("label in (2, 5)"))
 
 
-@query()
+@query("""with s as (select q.vec_id as query_id, e.vec_id as note_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as sim from embeddings q, embeddings e where q.label = 3),
+r as (select *, row_number() over (partition by query_id order by sim desc, note_id) as rank from s)
+select query_id, note_id, round(sim, 6) as similarity, cast(rank as integer) as rank from r where rank <= 10""")
 def vector_topk_batch(spark, d):
     v = _vectors(spark, d)
     return vectors.topk_batch(v, v.where("label = 3").select(F.col("note_id").alias("query_id"), "embedding"), 10).withColumn("similarity", F.round("similarity", 6))
@@ -636,32 +688,61 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"with {_PREP} select note_id, cast(len(string_split({_norm('plain')}, 'the')) - 1 as integer) as n_spans, cast(3 * (len(string_split({_norm('plain')}, 'the')) - 1) as bigint) as covered from prep")
 def normalized_spans(spark, d):
-    return _prepared(spark, d).select("note_id", T.find_spans(F.col("plain_text"), F.lit("the")).alias("spans"))
+    """Occurrences of a needle and the source characters they cover; ``find_spans`` gives their places."""
+    spans = T.merge_spans(T.clamp_spans(T.find_spans(F.col("plain_text"), F.lit("the")), F.col("plain_text")))
+    found = _index(spark, d).prepared.select("note_id", T.find_spans(F.col("plain_text"), F.lit("the")).alias("found"), spans.alias("merged"))
+    return found.select("note_id", F.size("found").alias("n_spans"), F.aggregate("merged", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("covered"))
 
 
-@query()
+_BARE = "lower(strip_accents(plain))"
+
+
+@query(f"""with {_PREP}, h as (select note_id, plain, length(plain) as n, strpos({_BARE}, 'stupid') as a, strpos({_BARE}, 'moron') as b from prep),
+f as (select *, case when a > 0 and (b = 0 or a < b) then a - 1 when b > 0 then b - 1 end as first, case when a > 0 and (b = 0 or a < b) then 6 else 5 end as size from h),
+c as (select *, greatest(0, first - 90) as low0, least(n, first + size + 90) as high0 from f),
+l as (select *, case when low0 > 0 and strpos(substr(plain, low0 + 1, first - low0), ' ') > 0 then low0 + strpos(substr(plain, low0 + 1, first - low0), ' ') else low0 end as low,
+        case when high0 < n and strpos(substr(reverse(substr(plain, first + size + 1, high0 - first - size)), 1), ' ') > 0 then high0 - strpos(reverse(substr(plain, first + size + 1, high0 - first - size)), ' ') else high0 end as high from c)
+select note_id, case when first is null then case when n <= 240 then plain else rtrim(substr(plain, 1, 239)) || '…' end
+  else case when low > 0 then '…' else '' end || trim(substr(plain, low + 1, high - low)) || case when high < n then '…' else '' end end as snippet from l""")
 def snippets(spark, d):
-    return _prepared(spark, d).select("note_id", T.snippet(F.col("plain_text"), F.array(F.lit("stupid"), F.lit("moron"))).alias("snippet"))
+    return _index(spark, d).prepared.select("note_id", T.snippet(F.col("plain_text"), F.array(F.lit("stupid"), F.lit("moron"))).alias("snippet"))
 
 
-@query()
+@query(f"with {_PREP} select note_id, case when plain = '' then 'Note ' || note_id when length(plain) <= 220 then plain else rtrim(substr(plain, 1, 219)) || '…' end as \"primary\", '' as support from prep")
 def display_lines(spark, d):
-    return _prepared(spark, d).select("note_id", T.display_lines(F.col("plain_fields"), F.array(F.lit("stupid")), F.col("note_id")).alias("l")).select("note_id", "l.primary", "l.support")
+    return _index(spark, d).prepared.select("note_id", T.display_lines(F.col("plain_fields"), F.array(F.lit("stupid")), F.col("note_id")).alias("l")).select("note_id", "l.primary", "l.support")
 
 
-@query()
+_HITS = "cast(len(string_split({t}, '{w}')) - 1 as bigint)"
+
+
+@query(f"with {_PREP}, t as (select note_id, {_norm('title')} as t from prep) select note_id, {_HITS.format(t='t', w='the')} as literal, {_HITS.format(t='t', w='of')} as correction, {_HITS.format(t='t', w='thing')} as alias from t")
 def highlight(spark, d):
+    """Highlighted spans of titles, by kind; these terms cannot overlap, so none hides another."""
     spans = T.highlight(F.col("title"), F.array(F.lit("the")), F.array(F.lit("of")), F.array(F.lit("thing")))
-    return _prepared(spark, d).select("note_id", spans.alias("spans")).where(F.size("spans") > 0)
+    kinds = _index(spark, d).prepared.select("note_id", spans.alias("s")).select("note_id", F.transform("s", lambda s: s["kind"]).alias("k"))
+    count = lambda kind: F.size(F.filter("k", lambda x: x == kind)).cast("bigint").alias(kind)
+    return kinds.select("note_id", *map(count, ("literal", "correction", "alias")))
 
 
-@query()
+#: Queries, and what must be read from them: terms, filters, the filters' expression, exact only.
+PARSED = [
+    ("stupid idiot", "stupid,idiot", "", "", False), ('"the" moron', "the,moron", "", "", False), ("trash -clown", "trash,-clown", "", "", False),
+    ("deck:en pathetic", "pathetic", "deck:en", "deck:en", False), ("tag:src1 OR moron", "tag:src1,moron", "", "", True), ("is: word (", "word", "is:", "is:", False),
+    ("(deck:A OR tag:b) AND x", "x", "deck:A,tag:b", "(deck:A OR tag:b)", False), ("snake_case", "snake_case", "", "", True), ("Text:a b", "b", "Text:a", "Text:a", False),
+]
+_PARSED_SQL = ", ".join("(" + ", ".join("true" if v is True else "false" if v is False else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in PARSED)
+
+
+@query(f"select * from (values {_PARSED_SQL}) as t(query, terms, filters, filter_query, exact_only)")
 def parse_queries(spark, d):
-    parser = Parser(field_names=["Text"])
-    rows = []
-    for q in SMART_QUERIES:
-        p = parser.parse(q)
-        rows.append((q, [t.normalized for t in p.terms], list(p.filters), p.filter_query, p.exact_only))
-    return spark.createDataFrame(rows, "query string, terms array<string>, filters array<string>, filter_query string, exact_only boolean")
+    """Fixed query texts; the SQL holds what must be read from them."""
+    parser, rows = Parser(field_names=["Text"]), []
+    for text, *_ in PARSED:
+        p = parser.parse(text)
+        rows.append((text, ",".join("-" * t.negated + t.normalized for t in p.terms), ",".join(p.filters), p.filter_query, p.exact_only))
+    return spark.createDataFrame(rows, "query string, terms string, filters string, filter_query string, exact_only boolean")
+
+

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import plain_text
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,6 +76,29 @@ def deck_catalog(decks: DataFrame, normal: DataFrame) -> DataFrame:
     return decks.groupBy("id").agg(F.min("name").alias("name")).join(flags, F.col("id") == F.col("_id"), "left").select("id", "name", F.col("_normal").isNull().alias("filtered"))
 
 
+def current_deck(catalog: DataFrame, *candidates: int | None) -> int | None:
+    """The first candidate (selected, last used, ..) that is in the catalog; else its normal deck of least id, else any."""
+    asked = [int(c) for c in candidates if c]
+    here = {r.id for r in catalog.where(F.col("id").isin(*asked)).select("id").collect()} if asked else set()
+    chosen = next((c for c in asked if c in here), None)
+    if chosen is None:
+        row = catalog.orderBy("filtered", "id").first()
+        chosen = row.id if row else None
+    return chosen
+
+
+def legacy_titles(notes: DataFrame) -> DataFrame:
+    """Notes with the title of the older reader: their first field that is not empty once cleaned."""
+    flat = notes.select("note_id", F.posexplode_outer("fields").alias("at", "field")).select("note_id", "at", plain_text(F.coalesce("field.value", F.lit(""))).alias("value"))
+    first = flat.groupBy("note_id").agg(F.min_by("value", F.when(F.col("value") != "", F.col("at"))).alias("_title"))
+    return notes.join(first, "note_id", "left").withColumn("title", F.coalesce("_title", F.lit(""))).drop("_title")
+
+
+def notes_of_cards(cards: DataFrame) -> DataFrame:
+    """Distinct notes of the cards that a card search found."""
+    return cards.where("nid > 0").select(F.col("nid").alias("note_id")).distinct()
+
+
 def cards_by_note(cards: DataFrame, order: str = "id") -> DataFrame:
     """Card ids of each note in the given order."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("id").alias("id"))))

@@ -29,10 +29,28 @@ def test_exact_only(text):
 
 def test_filter_groups_stay():
     p = parse("(deck:A OR tag:b) word")
-    assert p.filter_query == "( deck:A OR tag:b )" and not p.exact_only
+    assert p.filter_query == "(deck:A OR tag:b)" and not p.exact_only
     assert parse("deck:A AND word").filter_query == "deck:A"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("deck:A AND", "deck:A"), ("OR deck:A", "deck:A"), ("deck:A OR AND tag:b", "deck:A OR tag:b"), ("() deck:A", "deck:A"), ("deck:A ) tag:b", "deck:A tag:b"),
+        ("(deck:A tag:b", "deck:A tag:b"), ("((deck:A))", "((deck:A))"), ("deck:A AND word AND tag:b", "deck:A tag:b"), ("(deck:A OR tag:b) AND -is:x word", "(deck:A OR tag:b) AND -is:x"), ("word", ""),
+    ],
+)
+def test_filters_alone(text, want):
+    assert parse(text).filter_query == want
+
+
+def test_tokens_and_warnings():
+    assert parse('"open').warnings == ("unmatched_quote",) and parse("a OR b").warnings == ("evaluated_exactly",)
+    assert scan('a"b c"d\\ ("x\\"y)z") "tail\\') == (['a"b c"d\\', "(", '"x\\"y)z"', ")", '"tail\\'], True)
+    assert [(t.text, t.quoted, t.negated) for t in parse('-"two words" -one').terms] == [("two words", True, True), ("one", False, True)]
+    assert parse("").terms == () and parse(None).filter_query == ""
+
+
 def test_fields_as_filters():
     assert parse("Front:x").filters == ()
     assert parse("Front:x", field_names=["Front"]).filters == ("Front:x",)
@@ -82,6 +100,8 @@ def test_scopes():
     assert [n for n in names if scope.state(n) == "in"] == ["Parent", "Parent::Child B", "Other"]
     assert scope.toggled("Parent::Child A") == Scope(("Parent", "Other"))
     assert scope.toggled("Parent") == Scope(("Other",))
+    assert scope.toggled("Parent::Child A::x") == scope  # below an exclusion
+    assert scope.toggled("Parent::Child B") == Scope(("Parent", "Other"), ("Parent::Child A", "Parent::Child B"))
     with pytest.raises(ValueError):
         Scope.of(["A"], ["B::c"])
 
@@ -100,6 +120,9 @@ def test_analyze_and_apply():
     for q in ("deck:A*", "deck:current", "deck:A OR word", "-deck:A", '"deck:'):
         assert analyze(q)[0] == CUSTOM, q
     assert decode(r'deck:"a\_b"') == "a_b"
+    # a tab or a no-break space is part of a word; an ideographic space separates
+    assert analyze("deck:A\tword") == (SELECTED, Scope(("A\tword",))) and analyze("deck:A\u00a0b") == (SELECTED, Scope(("A\u00a0b",)))
+    assert analyze("deck:A\u3000word") == (SELECTED, Scope(("A",))) and analyze(r"deck:A\ B word") == (SELECTED, Scope(("A B",)))
     assert apply_selection("word", Scope(("A",))) == 'deck:"A" word'
     assert apply_selection("a OR b", Scope(("A",))) == 'deck:"A" (a OR b)'
     assert apply_selection("deck:A word", Scope()) == "word"
