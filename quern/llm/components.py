@@ -33,7 +33,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links(u, v)`` to ``(node, component)``, the component being its least node.
 
-    Nodes without a link to another node are not returned. Self links, repeated
+    The least node of a component and nodes without a link to another node are not
+    returned: they stand for themselves. Self links, repeated
     links and null ends are ignored; an empty table gives an empty result.
     """
     edges = links.select("u", "v").where("u is not null and v is not null and u <> v")

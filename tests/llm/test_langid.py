@@ -74,3 +74,30 @@ def test_every_letter_of_the_training_texts_is_numbered(spark):
     assert {ord(c) for c in common + rare["aa"] + rare["bb"]} == set(profiles.alphabet.tolist())
     for lang, letters in rare.items():
         assert profiles.predict(letters[2000:2100])[0] == lang
+
+
+def test_distance_and_score_match_brute_force(spark):
+    """Profiles ranked by count, out-of-place distances and the score, from dictionaries."""
+    import math
+    import random
+
+    profiles = train(spark)
+
+    def numbered(text):
+        keys, n = langid._counted(text, profiles.alphabet)
+        return dict(zip(keys.tolist(), n.tolist(), strict=True))
+
+    ranked = {}
+    for g, t in TEXTS.items():
+        counts = numbered(t)
+        ranked[g] = {k: i for i, k in enumerate(sorted(counts, key=lambda k: (-counts[k], k))[:50])}
+    rng = random.Random(2)
+    words = [w for t in TEXTS.values() for w in t.split()] + ["zzz", "qqx"]
+    for _ in range(40):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))
+        counts = numbered(text)
+        mine = sorted(counts, key=lambda k: (-counts[k], k))[:50]
+        far = {g: sum(min(50, abs(r[k] - i)) if k in r else 50 for i, k in enumerate(mine)) / (50 * len(mine)) for g, r in ranked.items()}
+        best, second = sorted(far.items(), key=lambda x: (x[1], x[0]))[:2]
+        lang, score = profiles.predict(text)
+        assert lang == best[0] and abs(score - 1 / (1 + math.exp(-20 * (second[1] - best[1])))) < 1e-9
