@@ -38,17 +38,22 @@ def word_hits(counts: DataFrame, asked: DataFrame, shards: int | None = None) ->
     return join_small(counts.drop("n"), asked, on).drop("shard", "term")
 
 
-def phrase_hits(postings: DataFrame, phrases: DataFrame, shards: int | None = None) -> DataFrame:
+def phrase_hits(postings: DataFrame, phrases: DataFrame, terms: DataFrame, shards: int | None = None) -> DataFrame:
     """``(phrase_id, note_id, wf, len)`` of phrases ``(phrase_id, tokens)``; none spans columns.
 
-    Every token occurrence names the position at which its phrase would begin; where all
-    of a phrase's tokens name one position, the phrase occurs. One join, however long
-    the phrase.
+    A phrase begins where its rarest token says it may, so only that token's postings are
+    read in full; at these places the other tokens are looked up, each by note, column and
+    position, and the phrase occurs where all are found. A phrase with a token that no note
+    holds has no hits.
     """
     each = phrases.select("phrase_id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "term"))
-    each, on = _sharded(each, postings, shards)
-    begins = join_small(postings, each, on).select("phrase_id", "size", "note_id", "len", "col", (F.col("pos") - F.col("at")).alias("begin"))
-    whole = begins.groupBy("phrase_id", "note_id", "col", "begin", "size").agg(F.count("*").alias("found"), F.first("len").alias("len")).where("found = size")
+    known = with_frequency(each, terms, shards)
+    rarest = known.groupBy("phrase_id").agg(F.min(F.struct("df", "at", "term")).alias("r"), F.count("*").alias("found"), F.first("size").alias("size")).where("found = size")
+    anchors, on = _sharded(rarest.select("phrase_id", F.col("r.at").alias("at"), F.col("r.term").alias("term")), postings, shards)
+    begins = join_small(postings, anchors, on).select("phrase_id", "note_id", "len", "col", (F.col("pos") - F.col("at")).alias("begin")).where("begin >= 0")
+    wanted, on = _sharded(join_small(begins, each, "phrase_id").withColumn("pos", F.col("begin") + F.col("at")), postings, shards)
+    places = join_small(postings.drop("len"), wanted, [*on, "note_id", "col", "pos"])
+    whole = places.groupBy("phrase_id", "note_id", "col", "begin", "size").agg(F.count("*").alias("found"), F.first("len").alias("len")).where("found = size")
     return whole.groupBy("phrase_id", "note_id").agg(F.sum(weight()).alias("wf"), F.first("len").alias("len"))
 
 
@@ -71,9 +76,9 @@ def word_parts(counts: DataFrame, terms: DataFrame, asked: DataFrame, corpus: tu
     return _parts(word_hits(counts, with_frequency(asked, terms, shards), shards), corpus)
 
 
-def phrase_parts(postings: DataFrame, phrases: DataFrame, clauses: DataFrame, corpus: tuple[int, float], shards: int | None = None) -> DataFrame:
+def phrase_parts(postings: DataFrame, phrases: DataFrame, clauses: DataFrame, terms: DataFrame, corpus: tuple[int, float], shards: int | None = None) -> DataFrame:
     """The same for phrases ``(phrase_id, tokens)`` of ``clauses(query_id, group_id, phrase_id)``."""
-    hits = phrase_hits(postings, phrases, shards)
+    hits = phrase_hits(postings, phrases, terms, shards)
     counts = hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
     return _parts(join_small(join_on_hidden_key(hits, counts, "phrase_id"), clauses, "phrase_id"), corpus)
 

@@ -157,7 +157,7 @@ class Engine:
         if phrases:
             rows = self.spark.createDataFrame([(i, list(p)) for p, i in phrases.items()], "phrase_id int, tokens array<string>")
             of_group = self.spark.createDataFrame(clauses, "query_id string, group_id int, phrase_id int")
-            parts.append(lexical.phrase_parts(idx.postings, rows, of_group, idx.corpus, idx.shards))
+            parts.append(lexical.phrase_parts(idx.postings, rows, of_group, idx.terms, idx.corpus, idx.shards))
         matches = lexical.matched(*parts).withColumn("source", F.substring_index("query_id", "|", -1))
         matches = join_small(matches, self.spark.createDataFrame(wanted, "query_id string, wanted int"), "query_id")
         matches = matches.where((F.col("source") == "literal_broad") | (F.col("groups") == F.col("wanted")))

@@ -23,7 +23,8 @@ def norm(v: Column) -> Column:
 def normalized(v: Column) -> Column:
     """Unit vector; null for a null or zero one."""
     n = norm(v)
-    return F.when(n > ZERO_NORM, F.transform(v, lambda x: x / n))
+    # the length stands in an array, as inside a lambda it would be computed for every component
+    return F.when(n > ZERO_NORM, F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, n: x / n))
 
 
 def valid(v: Column, dimension: int) -> Column:
@@ -42,8 +43,8 @@ def topk(vectors: DataFrame, query: list[float], k: int, allowed: DataFrame | No
         return vectors.select("note_id", F.lit(0.0).alias("similarity")).where("false")
     q = F.array(*(F.lit(float(x) / size) for x in query))
     rows = vectors if allowed is None else vectors.join(allowed.select("note_id").distinct(), "note_id", "left_semi")
-    unit = rows.select("note_id", normalized(F.col("embedding")).alias("u")).where("u is not null")
-    return unit.select("note_id", dot(F.col("u"), q).alias("similarity")).orderBy(F.desc("similarity"), "note_id").limit(k)
+    found = rows.select("note_id", norm(F.col("embedding")).alias("n"), dot(F.col("embedding"), q).alias("d")).where(F.col("n") > ZERO_NORM)
+    return found.select("note_id", (F.col("d") / F.col("n")).alias("similarity")).orderBy(F.desc("similarity"), "note_id").limit(k)
 
 
 #: Queries that one task multiplies at a time, and vectors that it takes together.

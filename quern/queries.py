@@ -251,7 +251,7 @@ def bm25_phrase(spark, d):
     asked = table(spark, d, "benchmark").select("item_id", tokens.alias("tokens")).where(F.size("tokens") >= 2)
     idx = _index(spark, d)
     clauses = asked.select(F.col("item_id").alias("query_id"), F.lit(1).alias("group_id"), F.col("item_id").alias("phrase_id"))
-    return _top(lexical.matched(lexical.phrase_parts(idx.postings, asked.select(F.col("item_id").alias("phrase_id"), "tokens"), clauses, idx.corpus, idx.shards)))
+    return _top(lexical.matched(lexical.phrase_parts(idx.postings, asked.select(F.col("item_id").alias("phrase_id"), "tokens"), clauses, idx.terms, idx.corpus, idx.shards)))
 
 
 _ALIAS_SQL = " union all ".join(f"select {i} as query_id, 1 as group_id, '{w}' as term" for i, pair in enumerate(ALIASES[:3]) for w in pair) + " union all select unnest([0, 1, 2]), 2, 'the'"

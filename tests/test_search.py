@@ -132,7 +132,7 @@ def test_bm25_formula(spark):
     assert got[7, 1] == (pytest.approx(part(1, 11, 6)), 1) and got[8, 1] == (pytest.approx(part(2, 22, 6)), 1)
     assert got[8, 2] == (pytest.approx(part(2, 11, 4) + part(1, 11, 4)), 2)
     phrases = spark.createDataFrame([(1, ["beta", "beta"]), (2, ["beta", "gamma"]), (3, ["gamma", "beta"])], "phrase_id int, tokens array<string>")
-    hits = {(r.phrase_id, r.note_id): r.wf for r in lexical.phrase_hits(index.postings(prepared), phrases).collect()}
+    hits = {(r.phrase_id, r.note_id): r.wf for r in lexical.phrase_hits(index.postings(prepared), phrases, terms).collect()}
     assert hits == {(1, 1): 11.0, (2, 2): 11.0}
 
 
