@@ -113,7 +113,8 @@ def _piece_crcs(crcs: np.ndarray, at: np.ndarray, tokens: np.ndarray, doc: np.nd
 
 #: Small letters below U+0100: runs of them are units that no normal form or lower case changes.
 _UNIT = "[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+"
-_STOPS = ".,;:!?"
+#: Signs that may follow a unit and are one piece to the vocabulary; an apostrophe or a ``<`` may begin other pieces.
+_SIGNS = r"""[!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+"""
 
 
 class _Tokens:
@@ -121,10 +122,10 @@ class _Tokens:
 
     The vocabulary never joins across white space, so parts are independent. It lower-
     cases and separates letters from other signs, so a part of letters is one unit, and
-    one that ends in a single stop is that unit and the stop. New units are encoded many
-    at a time, by the merges alone, and told apart by the vocabulary's word ends; all
-    other parts go one by one through the whole model. Ids of known parts lie in a flat
-    array, from which texts are gathered; a part's word is the hash of its ids without the stop.
+    one that ends in a run of signs is that unit and the run. New units are encoded many
+    at a time, by the merges alone, and told apart by the vocabulary's word ends; runs of
+    signs are few; all other parts go one by one through the whole model. Ids of known parts lie in a flat
+    array, from which texts are gathered; a part's word is the hash of its ids without the signs.
     """
 
     def __init__(self, path: str):
@@ -138,8 +139,6 @@ class _Tokens:
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        stops = [self.model.encode(c, add_special_tokens=False).ids for c in _STOPS]
-        self.stops = np.array([i for (i,) in stops], np.uint32)
         self.parts = pa.array([], pa.string())
         self.flat, self.at, self.hash, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
@@ -153,27 +152,26 @@ class _Tokens:
         self.parts, self.at, self.hash, self.seen = self.parts.take(pa.array(keep)), np.append(0, np.cumsum(size)), self.hash[keep], np.zeros(len(keep), np.int32)
 
     def _learn(self, new: pa.Array) -> None:
-        unit = pc.match_substring_regex(new, f"^{_UNIT}$").to_numpy(zero_copy_only=False)
-        stopped = pc.match_substring_regex(new, f"^{_UNIT}[{_STOPS}]$").to_numpy(zero_copy_only=False)
-        other = np.flatnonzero(~(unit | stopped))
-        base = pc.if_else(pa.array(stopped), pc.utf8_slice_codeunits(new, 0, -1), new).take(pa.array(np.flatnonzero(unit | stopped))).dictionary_encode()
-        ids, size = self._encoded(base.dictionary)
-        index = base.indices.to_numpy()
-        at = np.cumsum(size) - size
-        more = [e.ids for e in self.model.encode_batch_fast(new.take(pa.array(other)).to_pylist(), add_special_tokens=False)] if len(other) else []
-        n_more = np.fromiter(map(len, more), np.int64, len(more))
-        # both kinds in the order of `new`
-        first, sizes = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-        first[unit | stopped], sizes[unit | stopped] = at[index], size[index]
-        first[other], sizes[other] = len(ids) + np.cumsum(n_more) - n_more, n_more
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint32, int(n_more.sum()))])
-        flat = ids[_spans(first, sizes)]
-        end = np.cumsum(sizes)
-        words = _hashed(flat, end - sizes, sizes)
-        last = pc.utf8_slice_codeunits(new, -1).take(pa.array(np.flatnonzero(stopped)))
-        flat = np.insert(flat, end[stopped], self.stops[pc.index_in(last, pa.array(list(_STOPS))).to_numpy()])
-        self.flat = np.concatenate([self.flat, flat])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes + stopped)])
+        found = pc.extract_regex(new, f"^(?P<unit>{_UNIT})(?P<sign>{_SIGNS})?$")
+        plain = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        other = np.setdiff1d(np.arange(len(new)), plain, assume_unique=True)
+        found = found.take(pa.array(plain))
+        unit, sign = (found.field(name).dictionary_encode() for name in ("unit", "sign"))
+        whole = new.take(pa.array(other)).to_pylist()
+        more = [e.ids for e in self.model.encode_batch_fast([*sign.dictionary.to_pylist(), *whole], add_special_tokens=False)] if len(new) else []
+        ids, size = self._encoded(unit.dictionary)
+        size = np.concatenate([size, np.fromiter(map(len, more), np.int64, len(more))])
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint32, int(size.sum()) - len(ids))])
+        at = np.append(np.cumsum(size) - size, len(ids))
+        size = np.append(size, 0)
+        # a part is two spans of ids: a unit and its signs, or all of it and nothing
+        spans = np.full((len(new), 2), len(at) - 1)
+        spans[plain, 0], spans[plain, 1] = unit.indices.to_numpy(), len(unit.dictionary) + sign.indices.to_numpy()
+        spans[other, 0] = len(unit.dictionary) + len(sign.dictionary) + np.arange(len(other))
+        first, sizes = at[spans], size[spans]
+        words = _hashed(ids[_spans(first[:, 0], sizes[:, 0])], np.cumsum(sizes[:, 0]) - sizes[:, 0], sizes[:, 0])
+        self.flat = np.concatenate([self.flat, ids[_spans(first.ravel(), sizes.ravel())]])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes.sum(axis=1))])
         self.hash = np.concatenate([self.hash, words])
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
         self.parts = pa.concat_arrays([self.parts, new])
