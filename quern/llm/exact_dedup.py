@@ -40,7 +40,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text. The row with the largest id of each group stays. Rows repeated with the
     same id and text are counted one by one and exactly one of them stays. A null
     id never wins against another id; a group of null ids keeps one row and has a
-    null ``keep_id``. Empty tables give an empty result. ``hashed`` maps a chunk
+    null ``keep_id``. Empty tables give an empty result. Texts are compared whole, however
+    long; other columns are not read, whatever their names. ``hashed`` maps a chunk
     to a long; any function gives right results.
     """
     docs = only(df, id=id_col, text=text_col).select("id", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))

@@ -177,7 +177,11 @@ class Profiles:
 
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> Profiles:
-    """Profiles over all rows with a language and a text; counts cover whole texts."""
+    """Profiles over all rows with a language and a text; counts cover whole texts.
+
+    Repeated rows count each time. Without such rows, as in an empty table, there are no
+    profiles and every text is ``und``. Other columns are not read, whatever their names.
+    """
     rows = only(df, lang=lang_col, text=text_col).where("lang is not null and text is not null")
     schema = "lang string, key bigint, n bigint"
     # at most the letters of Unicode reach the driver
@@ -190,7 +194,11 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: i
 
 
 def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)`` for each row: ``und`` and 0 for a text that is null or has no letter."""
+    """``(id, lang_pred, score)`` for each row: ``und`` and 0 for a text that is null or has no letter.
+
+    Repeated rows and null ids are judged like any other, long texts in pieces but whole. An
+    empty table gives an empty result; other columns are not read, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -570,7 +570,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     read (default: the installed public vocabulary). ``slot_cols`` name the slot of a mix
     and the place in it: sequences then follow the mix, as ``RANGE_SLOTS`` slots are packed
     by themselves and ``sequence_id`` ascends with the slots. Repeated rows and null ids are
-    packed row by row. An empty table gives an empty result.
+    packed row by row. An empty table gives an empty result. Texts are packed whole, however
+    long; other columns are not read, whatever their names.
     """
     if length % STEP:
         raise ValueError(f"length must be a multiple of {STEP}")

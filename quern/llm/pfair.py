@@ -126,7 +126,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     weight, null included, mix as one source named ``(rest)``. Null texts count
     as empty. Repeated rows follow one another. ``release`` and ``due`` are slots,
     from the exact weights; only a ``frame`` that is given rounds them to 1 / ``frame``.
-    An empty table gives an empty result; weights must be positive.
+    An empty table gives an empty result; weights must be positive. A very long text fills
+    blocks of its own; other columns are not read, whatever their names.
     """
     weights = dict(weights or TARGET)
     weights.setdefault(REST, min(weights.values()))

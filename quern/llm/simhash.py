@@ -243,7 +243,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is named by its smallest id. Equal fingerprints, zero included, are linked.
     ``is_first`` marks the row that carries that smallest id. Null ids take part
     in links but never name a component that has another id. Repeated rows are
-    all returned. Empty tables give an empty result.
+    all returned. Empty tables give an empty result. Texts are read whole, however long;
+    other columns are not read, whatever their names.
     """
     sig = checkpointed(fingerprints(df, id_col, text_col, width))
     fps = checkpointed(sig.groupBy("fp").agg(F.min("id").alias("least")))

@@ -211,8 +211,9 @@ def _hits(lexicon_entries: list[str]):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows; nothing but text and label enters it.
 
-    Rows with a null label are left out. Without toxic and clean rows the model is
-    constant: the smoothed share of toxic rows.
+    Rows with a null label or text are left out; rows repeated with an id count once. Without
+    toxic and clean rows, as in an empty table, the model is constant: the smoothed share of
+    toxic rows. Texts are read whole; other columns are not read, whatever their names.
     """
     rows = only(labelled, id=id_col, text=text_col, toxic=label_col).where("toxic is not null and text is not null")
     rows = rows.select(F.xxhash64("id", F.lit(11)).alias("row"), "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -253,7 +254,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score, predicted)`` for each row; ``predicted`` is 1 where score >= 0.7."""
+    """``(id, score, predicted)`` for each row; ``predicted`` is 1 where score >= 0.7.
+
+    Every row is scored by its own whole text, so repeated rows and null ids get scores like
+    any other; a null or empty text scores as one without any word. An empty table gives an
+    empty result; other columns are not read, whatever their names.
+    """
     out = only(df, id=id_col, text=text_col).select("id", model.score(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
