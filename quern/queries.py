@@ -10,8 +10,10 @@ shares, once for each session and data folder. Other queries read the tables.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -120,6 +122,7 @@ def workspace(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "quern-workspace")
+        atexit.register(shutil.rmtree, f"{shared}/quern-{spark.sparkContext.applicationId}", ignore_errors=True)
     return f"{shared}/quern-{spark.sparkContext.applicationId}"
 
 
@@ -319,6 +322,36 @@ def exact_engine_search(spark, d):
     return _engine(spark, d).search(SMART_QUERIES, mode="exact", field_names=["Text"])
 
 
+#: Queries of words and of a quoted phrase for the whole chain of exact mode.
+EXACT_QUERIES = ["stupid idiot", "the thing", '"of the"']
+_EXACT_WORDS = "(values (0, 0, 'stupid'), (0, 1, 'idiot'), (1, 0, 'the'), (1, 1, 'thing'))"
+_EXACT_SQL = rf"""with {_PREP}, {_COUNTS}, {_match(f"select * from {_EXACT_WORDS} as t(query_id, group_id, term)")},
+ranked as (select query_id, note_id, 1.0 as w, row_number() over (partition by query_id order by score, note_id) as r, 300 as most from m
+  union all select query_id, note_id, 4.0, row_number() over (partition by query_id order by score, note_id), 250 from m join wanted using (query_id) where groups = wanted),
+pos as (select note_id, col, w, unnest(toks) as term, unnest(range(len(toks))) as i from cols),
+hit as (select x.note_id, sum(x.w) as wf from pos x join pos y on x.term = 'of' and y.term = 'the' and y.note_id = x.note_id and y.col = x.col and y.i = x.i + 1 group by all),
+ph as (select note_id, -(case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end * wf * 2.2 / (wf + 1.2 * (0.25 + 0.75 * len / mean))) as score
+       from hit join lens using (note_id), corpus, (select count(*) as df from hit)),
+every as (select * from ranked union all select 2, note_id, 4.0, row_number() over (order by score, note_id), 250 from ph),
+fused as (select query_id, note_id, sum(w / (60.0 + r)) as score from every where r <= most group by all),
+words as (select note_id, normalized_text, regexp_extract_all(normalized_text, '{_WORD}') as toks, regexp_extract_all(lower(title), '{_WORD}') as title_toks from texts),
+asked_words as (select 0 as query_id, 'stupid' as a, 'idiot' as b, null as phrase union all select 1, 'the', 'thing', null union all select 2, 'of', 'the', 'of the'),
+places as (select note_id, unnest(toks) as term, unnest(range(len(toks))) as i from words where note_id in (select note_id from fused)),
+near as (select query_id, x.note_id, min(abs(x.i - y.i)) + 1 as span from asked_words q join places x on x.term = q.a join places y on y.term = q.b and y.note_id = x.note_id group by all),
+boosted as (select f.query_id, f.note_id, f.score + case when phrase is not null and contains(normalized_text, phrase) then 0.055 else 0 end + case when span is not null then 0.035 + 0.018 / greatest(1.0, log2(span + 1)) else 0 end
+    + case when list_contains(title_toks, a) and list_contains(title_toks, b) then 0.02 else 0 end as score
+  from fused f join asked_words q using (query_id) join words using (note_id) left join near using (query_id, note_id)),
+placed as (select *, row_number() over (partition by query_id order by round(score, 9) desc, note_id) as position, count(*) over (partition by query_id) as total_candidates from boosted)
+select query_id, note_id, cast(position as integer) as position, round(score, 6) as score, cast(total_candidates as bigint) as total_candidates from placed where position <= {TOP}"""
+
+
+@query(_EXACT_SQL)
+def exact_search_scores(spark, d):
+    """Sources, fusion, phrase, all-terms, proximity and title boosts, order and limit of exact mode."""
+    found = _engine(spark, d).search(EXACT_QUERIES, mode="exact", limit=TOP, field_names=["Text"])
+    return found.select("query_id", "note_id", "position", F.round("score", 6).alias("score"), "total_candidates")
+
+
 def _engine(spark, d) -> Engine:
     return Engine(spark, _index(spark, d))
 
@@ -683,7 +716,11 @@ def card_state_summary(spark, d):
 # --- display, parsing (golden tests stand for an oracle) ------------------------------
 
 
-@query()
+_BLOCKS = "|".join(sorted(T.BLOCK_TAGS, key=len, reverse=True))
+_BARE_HTML = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style|svg)[^>]*>.*?</(script|style|svg)>', '', 'gs'), '</?({_BLOCKS})(\s[^>]*)?/?>', ' ', 'g'), '</?[a-zA-Z!][^>]*>', '', 'g')"
+
+
+@query(rf"select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace({_BARE_HTML}, '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
 

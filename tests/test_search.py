@@ -153,6 +153,16 @@ def test_corrections(spark):
     assert got["buproprion"].automatic
 
 
+def test_boosts(spark):
+    words = "array<string>"
+    rows = [(1, 0.0, "a x b", ["a", "x", "b"], ["a"], ["a", "b"], []), (2, 0.0, "a", ["a"], ["a"], ["a", "b"], []), (3, 0.0, "a", ["a"], ["a"], ["a"], []), (4, 0.0, "x b a", ["x", "b", "a"], ["b", "a"], ["a", "b"], ["b a"])]
+    df = spark.createDataFrame(rows, f"note_id bigint, score double, normalized_text string, tokens {words}, title_tokens {words}, query_tokens {words}, phrases {words}")
+    got = {r.note_id: (r.score, r.proximity) for r in fusion.boosted(df).collect()}
+    near = lambda span: 0.018 / max(1, math.log2(span + 1))
+    want = {1: (0.035 + near(3), near(3)), 2: (0.0, 0.0), 3: (0.035 + 0.02, 0.0), 4: (0.055 + 0.035 + 0.02 + near(2), near(2))}
+    assert {i: (pytest.approx(a), pytest.approx(b)) for i, (a, b) in want.items()} == got
+
+
 def test_cover_span():
     assert fusion.cover_span("a x b a".split(), ["a", "b"]) == 2
     assert fusion.cover_span("a x b a".split(), ["a", "a", "b"]) == 4
