@@ -342,14 +342,14 @@ boosted as (select f.query_id, f.note_id, f.score + case when phrase is not null
     + case when list_contains(title_toks, a) and list_contains(title_toks, b) then 0.02 else 0 end as score
   from fused f join asked_words q using (query_id) join words using (note_id) left join near using (query_id, note_id)),
 placed as (select *, row_number() over (partition by query_id order by round(score, 9) desc, note_id) as position, count(*) over (partition by query_id) as total_candidates from boosted)
-select query_id, note_id, cast(position as integer) as position, round(score, 6) as score, cast(total_candidates as bigint) as total_candidates from placed where position <= {TOP}"""
+select query_id, note_id, cast(position as integer) as position, round(score, 8) as score, cast(total_candidates as bigint) as total_candidates from placed where position <= {TOP}"""
 
 
 @query(_EXACT_SQL)
 def exact_search_scores(spark, d):
     """Sources, fusion, phrase, all-terms, proximity and title boosts, order and limit of exact mode."""
     found = _engine(spark, d).search(EXACT_QUERIES, mode="exact", limit=TOP, field_names=["Text"])
-    return found.select("query_id", "note_id", "position", F.round("score", 6).alias("score"), "total_candidates")
+    return found.select("query_id", "note_id", "position", "score", "total_candidates")
 
 
 def _engine(spark, d) -> Engine:
