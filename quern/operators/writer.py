@@ -21,6 +21,8 @@ from quern.sources.files import read_aliases
 
 SCHEMA = 2
 HASH_REVISION, TAG_REVISION = 1, 1
+# Endings of the host's collection files.
+COLLECTIONS = (".anki2", ".anki21", ".anki21b")
 ALIASES = "alias string, canonical string, weight double, source string"
 HASHES = "note_id bigint, content_hash string, card_scope_hash string"
 
@@ -32,7 +34,7 @@ class UnsafePath(ValueError):
 def guarded(spark: SparkSession, root: str) -> str:
     """A root for an index: not a collection file, and empty, new or an index already."""
     name = root.rstrip("/").rsplit("/", 1)[-1].lower()
-    if name.endswith((".anki2", ".anki21", ".anki21b")) or not name:
+    if name.endswith(COLLECTIONS) or not name:
         raise UnsafePath("an index must be apart from the collection")
     fs, p = Versions(spark, root)._path(root)
     if fs.exists(p):
